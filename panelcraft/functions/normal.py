@@ -7,7 +7,7 @@ rational form of Acklam (1998).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -47,8 +47,17 @@ def _horner(coefficients: Sequence[float], x: Column) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it by name inside `body`, which keeps nested formulas small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def phi(x: Column) -> Column:
     """Standard normal distribution function, exactly 0 or 1 beyond |x| = 8.3."""
+    return _bound(x.cast("double"), _phi)
+
+
+def _phi(x: Column) -> Column:
     z = F.abs(x)
     density = F.exp(-z * z / 2.0)
     near = density * _horner(CDF_NUM, z) / _horner(CDF_DEN, z)
@@ -62,6 +71,10 @@ def phi(x: Column) -> Column:
 
 def phi_inv(p: Column) -> Column:
     """Standard normal quantile; NULL outside (0, 1)."""
+    return _bound(p.cast("double"), _phi_inv)
+
+
+def _phi_inv(p: Column) -> Column:
     def tail(q: Column) -> Column:
         return _horner(INV_TAIL_NUM, q) / _horner(INV_TAIL_DEN, q)
 

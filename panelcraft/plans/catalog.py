@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import universe  # noqa: F401
+from . import scores, universe  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -130,10 +130,10 @@ def prj05(spark, sf):
 
 
 @query("prj06_annualized_rate", """
-SELECT ingest, round(rate * 8760.0 / interval_hours, 8) AS annualized FROM funding""")
+SELECT ingest, round(rate * 8760.0 / interval_hours, 11) AS annualized FROM funding""")
 def prj06(spark, sf):
     rate = cal.annualize_rate(F.col("rate"), F.col("interval_hours"))
-    return funding(spark, sf).select("ingest", F.round(rate, 8).alias("annualized"))
+    return funding(spark, sf).select("ingest", F.round(rate, 11).alias("annualized"))
 
 
 @query("prj07_regime_label", """
@@ -250,14 +250,14 @@ def agg07_counts(spark, sf):
 
 
 @query("win09_liquid_universe", """
-SELECT week_end, symbol, n_weekly_bars, round(trailing_dollar_volume, 2) AS trailing_dollar_volume, rankable, liquidity_rank,
+SELECT week_end, symbol, n_weekly_bars, round(trailing_dollar_volume, 4) AS trailing_dollar_volume, rankable, liquidity_rank,
        eligible, round(forward_return, 8) AS forward_return FROM universe""")
 def win09(spark, sf):
     out = universe(spark, sf).select(
         "week_end", "symbol", "n_weekly_bars", "trailing_dollar_volume", "rankable", "liquidity_rank", "eligible",
         "forward_return",
     )
-    return round_to(round_to(out, 8, "forward_return"), 2, "trailing_dollar_volume")
+    return round_to(round_to(out, 8, "forward_return"), 4, "trailing_dollar_volume")
 
 
 @query("val01_bar_rules", """
