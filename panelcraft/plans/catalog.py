@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import scores, universe  # noqa: F401
+from . import universe, scores, rates, trades  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
