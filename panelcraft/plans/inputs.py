@@ -238,14 +238,18 @@ SELECT asset AS series_id, row_number() OVER (PARTITION BY asset ORDER BY date)
 FROM asset_ret""")
 
 
-def chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Option quotes: 150 instruments around one underlying level, some without a bid."""
+def chain(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    """Option quotes: 150 instruments around one underlying level, some without a bid.
+
+    Another table of events, such as a stream, can stand in for the stored one.
+    """
+    events = table(spark, sf, "events") if events is None else events
     parts = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
     level = parts.agg(F.avg("p_retailprice")).scalar()
     half = F.floor(F.col("p_partkey") / 2)
     premium = 0.01 + F.col("value") / 1e5
     sign = F.when(F.col("p_partkey") % 2 == 0, 1.0).otherwise(-1.0)
-    joined = table(spark, sf, "events").join(parts, F.col("user_id") % 200 == F.col("p_partkey"))
+    joined = events.join(parts, F.col("user_id") % 200 == F.col("p_partkey"))
     return joined.withColumn("underlying", level).select(
         F.concat(F.lit("I"), "p_partkey").alias("instrument"), "ts",
         F.when(F.col("p_partkey") % 2 == 0, "call").otherwise("put").alias("type"),
