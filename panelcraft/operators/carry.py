@@ -13,7 +13,7 @@ from ..functions.calendar import HOURS_PER_YEAR
 from ..functions.windows import over, uniform, with_grid
 from . import costs
 from .returns import additive_drawdown
-from .scoring import phase_bands, score_series
+from .scoring import score_series
 
 CELL = ("symbol", "venue", "capital_multiple", "horizon")
 PASS_LEVEL = 0.95
@@ -166,38 +166,47 @@ def after_tax(priced: DataFrame, rate: float, keys: Sequence[str] = CELL) -> Dat
     return agg.withColumn("tax_drag", F.col("pre_tax") - F.col("after_tax"))
 
 
-def headline(obs: DataFrame, priced: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Significance per cell: median over all strided phases, lumpy and even interval series, and the
-    smaller of median and lumpy as the deciding number. All series of all cells are scored in one pass."""
+def headline_series(obs: DataFrame, priced: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Every series the headline needs, as (cell keys, kind, idx, ret): one per strided phase, and the lumpy
+    and even interval series."""
     phases = strided(priced).select(*CELL, F.col("phase").cast("string").alias("kind"), "idx", F.col("net").alias("ret"))
     lumpy = interval_series(obs, priced, horizons, False).withColumn("kind", F.lit("lumpy"))
     even = interval_series(obs, priced, horizons, True).withColumn("kind", F.lit("amortised"))
-    scores = score_series(phases.unionByName(lumpy).unionByName(even), [*CELL, "kind"])
-    bands = phase_bands(scores.filter("n >= 2 AND kind NOT IN ('lumpy', 'amortised')"), CELL)
+    return phases.unionByName(lumpy, allowMissingColumns=True).unionByName(even, allowMissingColumns=True)
+
+
+def headline(series: DataFrame) -> DataFrame:
+    """Significance per cell from `headline_series`: median over all phases, lumpy and even interval
+    series, and the smaller of median and lumpy as the deciding number. All series are scored in one pass;
+    store the series first, since scoring reads it twice."""
+    scores = score_series(series, [*CELL, "kind"])
+    phase = (F.col("n") >= 2) & ~F.col("kind").isin("lumpy", "amortised")
 
     def pick(kind: str, c: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(c)))
 
-    single = scores.groupBy(*CELL).agg(
+    out = scores.withColumn("_phase", F.when(phase, F.col("psr0"))).groupBy(*CELL).agg(
+        F.median("_phase").alias("median"), F.min("_phase").alias("min"), F.max("_phase").alias("max"),
         pick("lumpy", "psr0").alias("lumpy"), pick("amortised", "psr0").alias("amortised"), pick("0", "n").alias("n_trades"),
         pick("0", "effective_t").alias("effective_t"), pick("0", "block").alias("block"), pick("0", "sr").alias("sr"),
         pick("0", "skew").alias("skew"), pick("0", "kurt").alias("kurt"),
     )
     kill = F.least("median", "lumpy")
     return (
-        bands.drop("n_scored").join(single, list(CELL)).withColumn("kill", kill)
-        .withColumn("passes", F.coalesce(kill >= PASS_LEVEL, F.lit(False)))
+        out.withColumn("kill", kill).withColumn("passes", F.coalesce(kill >= PASS_LEVEL, F.lit(False)))
         .withColumn("iid_ok", F.col("block") <= IID_BLOCK_CEILING)
     )
 
 
-def cost_surface(obs: DataFrame, horizons: Sequence[int], capital_multiples: Sequence[float] = costs.CAPITAL_MULTIPLES) -> DataFrame:
-    """Early gate and headline for every venue, horizon and capital multiple of every symbol that has
-    more than two horizons of observations."""
+def long_enough(obs: DataFrame, gross_trades: DataFrame) -> DataFrame:
+    """Trades of symbols that have more than two horizons of observations."""
     sizes = obs.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    gross = trades(obs, horizons).join(sizes, "symbol").filter("_n > 2 * horizon").drop("_n")
-    priced = with_costs(gross, capital_multiples)
-    return early_gate(priced).join(headline(obs, priced, horizons).drop("n_trades"), list(CELL))
+    return gross_trades.join(sizes, "symbol").filter("_n > 2 * horizon").drop("_n")
+
+
+def cost_surface(priced: DataFrame, series: DataFrame) -> DataFrame:
+    """Early gate and headline for every venue, horizon and capital multiple of every symbol."""
+    return early_gate(priced).join(headline(series).drop("n_trades"), list(CELL))
 
 
 def killed(surface: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

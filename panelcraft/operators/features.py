@@ -113,7 +113,13 @@ def ranges(daily: DataFrame) -> DataFrame:
 
 
 def daily_features(daily: DataFrame) -> DataFrame:
-    """All 28 signals per (symbol, date); one exchange by symbol carries every window."""
+    """All 28 signals per (symbol, date); one exchange by symbol carries every window.
+
+    The windows are heavy per byte, so the exchange keeps every configured partition instead of letting
+    small ones be merged by size.
+    """
+    parts = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    daily = daily.repartition(parts, "symbol")
     return ranges(relative_strength(oscillators(sma_ratios(daily)))).select("symbol", "date", *SIGNALS)
 
 

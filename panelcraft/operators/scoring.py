@@ -36,25 +36,21 @@ def _lag_sums(values: pd.Series, own: pd.Series, start: pd.Series, n: pd.Series,
     return pd.Series(out)
 
 
-def block_lengths(series: DataFrame, keys: Sequence[str] = KEY, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Automatic mean block length of the stationary bootstrap (Politis-White 2004, corrected 2009).
-
-    A series is cut into chunks of consecutive rows, each extended by the few rows its lags reach into.
-    Chunks give partial sums per lag, so no task holds a whole series and no row is repeated per lag.
-    Series shorter than 11 rows get 1.
-    """
+def _with_blocks(series: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Moments of every series and its block length, reading the series twice: once to aggregate, once to chunk."""
     keys = list(keys)
-    run = F.greatest(F.lit(5), F.floor(F.log10("n"))).cast("int")
+    run = F.greatest(F.lit(5), F.floor(F.log10(F.greatest("n", F.lit(1))))).cast("int")
+    moments = return_moments(series, keys)
     stats = (
-        series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("_mean"))
-        .withColumn("_run", run)
+        moments.select(*keys, F.struct(*[c for c in moments.columns if c not in keys]).alias("_stats"))
+        .withColumn("n", F.col("_stats.n")).withColumn("_run", run)
         .withColumn("_m", (F.ceil(F.sqrt("n")) + F.col("_run")).cast("int"))
         .withColumn("_size", F.greatest(F.lit(chunk_rows), F.col("_m") + 1).cast("bigint"))
     )
     chunk = F.floor(F.col("idx") / F.col("_size"))
     reaches_back = (F.col("_chunk") > 0) & (F.col("idx") - F.col("_chunk") * F.col("_size") < F.col("_m"))
     placed = (
-        series.join(stats.filter(F.col("n") >= MIN_LENGTH), keys)
+        series.select(*keys, "idx", "ret").join(stats, keys)
         .withColumn("_chunk", chunk)
         .withColumn(
             "_to", F.explode(F.when(reaches_back, F.array(F.col("_chunk"), F.col("_chunk") - 1)).otherwise(F.array("_chunk")))
@@ -64,15 +60,15 @@ def block_lengths(series: DataFrame, keys: Sequence[str] = KEY, chunk_rows: int
     ids = [*keys, "n", "_run", "_m"]
     chunks = placed.groupBy(*ids, "_size", "_to").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("idx", (F.col("ret") - F.col("_mean")).alias("e")))), lambda x: x["e"]
+            F.array_sort(F.collect_list(F.struct("idx", (F.col("ret") - F.col("_stats.mean")).alias("e")))), lambda x: x["e"]
         ).alias("_values"),
-        F.count_if("_own").alias("_k"),
+        F.count_if("_own").alias("_k"), F.first("_stats").alias("_stats"),
     )
     sums = chunks.select(
-        *ids, F.posexplode(_lag_sums("_values", "_k", F.col("_to") * F.col("_size"), "n", "_m")).alias("_pos", "_v")
-    ).groupBy(*ids, "_pos").agg(F.sum("_v").alias("_v"))
+        *ids, "_stats", F.posexplode(_lag_sums("_values", "_k", F.col("_to") * F.col("_size"), "n", "_m")).alias("_pos", "_v")
+    ).groupBy(*ids, "_pos").agg(F.sum("_v").alias("_v"), F.first("_stats").alias("_stats"))
     folded = sums.groupBy(*ids).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda x: x["_v"]).alias("_s")
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda x: x["_v"]).alias("_s"), F.first("_stats").alias("_stats")
     )
     width = F.col("_m") + 1
 
@@ -97,15 +93,26 @@ def block_lengths(series: DataFrame, keys: Sequence[str] = KEY, chunk_rows: int
     )
     cap = F.ceil(F.least(3.0 * F.sqrt("n"), F.col("n") / 3.0)).cast("double")
     raw = F.cbrt(F.pow(F.col("_g") / F.nullif(F.col("_lr"), F.lit(0.0)), F.lit(2.0)) * F.col("n"))
-    found = (
+    block = F.when(F.col("n") < MIN_LENGTH, 1.0).otherwise(F.coalesce(F.least(raw, cap), F.lit(1.0)))
+    return (
         folded.withColumn("_calm", calm).withColumn("_first", F.get(starts, F.lit(0)))
         .withColumn("_bw", F.coalesce(F.least(2 * F.greatest(F.col("_first"), F.lit(1)), F.col("_m")), F.col("_m")))
-        .withColumn("_g", F.aggregate(lags, zero, lambda a, k: a + weight(k) * k))
-        .withColumn("_lr", F.aggregate(lags, cross(F.lit(0)) / F.col("n"), lambda a, k: a + weight(k)))
-        .select(*keys, F.coalesce(F.least(raw, cap), F.lit(1.0)).alias("block"))
+        .withColumns({
+            "_g": F.aggregate(lags, zero, lambda a, k: a + weight(k) * k),
+            "_lr": F.aggregate(lags, cross(F.lit(0)) / F.col("n"), lambda a, k: a + weight(k)),
+        })
+        .select(*keys, "_stats.*", block.alias("block"))
     )
-    short = stats.filter(F.col("n") < MIN_LENGTH).select(*keys, F.lit(1.0).alias("block"))
-    return found.unionByName(short)
+
+
+def block_lengths(series: DataFrame, keys: Sequence[str] = KEY, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Automatic mean block length of the stationary bootstrap (Politis-White 2004, corrected 2009).
+
+    A series is cut into chunks of consecutive rows, each extended by the few rows its lags reach into.
+    Chunks give partial sums per lag, so no task holds a whole series and no row is repeated per lag.
+    Series shorter than 11 rows get 1.
+    """
+    return _with_blocks(series, keys, chunk_rows).select(*keys, "block")
 
 
 def effective_size(n: Column, block: Column, least_block: float = 1.0) -> Column:
@@ -115,10 +122,7 @@ def effective_size(n: Column, block: Column, least_block: float = 1.0) -> Column
 
 def score_series(series: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Moments, block length, effective size and the probability of a positive true Sharpe, per series."""
-    moments = return_moments(series, keys)
-    scored = moments.join(block_lengths(series, keys), list(keys)).withColumn(
-        "effective_t", effective_size(F.col("n"), F.col("block"))
-    )
+    scored = _with_blocks(series, keys, CHUNK_ROWS).withColumn("effective_t", effective_size(F.col("n"), F.col("block")))
     zero = F.lit(0.0)
     return scored.withColumn("psr0", psr(F.col("sr"), zero, F.col("effective_t"), F.col("skew"), F.col("kurt")))
 

@@ -55,7 +55,7 @@ def src02(spark, sf):
     rows = bars(spark, sf).withColumn("symbol", F.replace("symbol", F.lit("#"), F.lit("")))
     ms = _epoch_ms(F.col("date").cast("timestamp")) + SHIFT_MS
     stamp = F.when(F.col("date") < F.lit("1999-01-01").cast("date"), ms).otherwise(ms * 1000)
-    values = [F.format_string("%.8f", F.col(c)) for c in ("open", "high", "low", "close")]
+    values = [F.format_string("%.12f", F.col(c)) for c in ("open", "high", "low", "close")]
     line = F.concat_ws(",", stamp, *values, F.lit("1"), stamp, F.format_string("%.2f", "dollar_volume"), F.lit("9"))
     data = rows.select(F.concat("symbol", F.lit("-klines-1d")).alias("file"), line.alias("value"))
     heads = data.select("file").distinct().filter("length(file) % 2 = 0").select("file", F.lit("open_time,open,high,low,close,volume,close_time,quote_volume,count").alias("value"))

@@ -12,6 +12,7 @@ from ..operators import returns as R
 from ..operators import scoring as S
 from .inputs import asset_series, bar_series, round_to
 from .registry import cte, query
+from .stage import stage
 from .sqltext import max_sharpe, phi, phi_inv, psr_of, score_ctes, variance
 
 score_ctes("bar", "bar_series")
@@ -278,7 +279,7 @@ boot_ctes("boot", "asset", 20, 7)
 
 @query("scr07_bootstrap_paths", "SELECT series_id, path, round(value, 9) AS value FROM boot_mean")
 def scr07(spark, sf):
-    series = asset_series(spark, sf)
+    series = stage(asset_series(spark, sf), "series")
     return round_to(B.path_means(series, 20, B.with_blocks(series), 7), 9, "value")
 
 
@@ -286,7 +287,7 @@ def scr07(spark, sf):
 SELECT series_id, round(list_sort(list(value))[1 + floor(0.025 * 20)::INTEGER], 9) AS ci_low,
        round(list_sort(list(value))[1 + floor(0.975 * 20)::INTEGER], 9) AS ci_high FROM boot_mean GROUP BY 1""")
 def scr08_rank(spark, sf):
-    series = asset_series(spark, sf)
+    series = stage(asset_series(spark, sf), "series")
     means = B.path_means(series, 20, B.with_blocks(series), 7)
     return round_to(B.interval_by_rank(means), 9, "ci_low", "ci_high")
 
@@ -327,7 +328,7 @@ FROM (SELECT series_id, psr0 >= 0.4 AS psr_ok, dd <= 0.35 + 1e-12 AS drawdown_ok
     SELECT *, greatest(1.0, max(wealth) OVER (PARTITION BY series_id ORDER BY idx)) AS peak FROM asset_wealth) GROUP BY 1) USING (series_id)
   JOIN (SELECT split_part(series_id, '/', 1) AS series_id, min(psr0) AS low FROM fold_score GROUP BY 1) USING (series_id))""".replace("SELECT *, psr_ok AND", "SELECT * EXCLUDE (low), psr_ok AND", 1))
 def scr26(spark, sf):
-    series = asset_series(spark, sf)
+    series = stage(asset_series(spark, sf), "series")
     folds = S.phase_bands(S.score_series(CV.test_series(series), ["series_id", "split_id"]), ["series_id"])
     scores = (
         S.score_series(series).join(R.max_drawdown(R.wealth(series), "wealth"), "series_id")
