@@ -191,7 +191,7 @@ def headline(series: DataFrame) -> DataFrame:
         pick("0", "effective_t").alias("effective_t"), pick("0", "block").alias("block"), pick("0", "sr").alias("sr"),
         pick("0", "skew").alias("skew"), pick("0", "kurt").alias("kurt"),
     )
-    kill = F.least("median", "lumpy")
+    kill = F.when(F.col("median").isNotNull() & F.col("lumpy").isNotNull(), F.least("median", "lumpy"))
     return (
         out.withColumn("kill", kill).withColumn("passes", F.coalesce(kill >= PASS_LEVEL, F.lit(False)))
         .withColumn("iid_ok", F.col("block") <= IID_BLOCK_CEILING)

@@ -96,7 +96,7 @@ def _with_blocks(series: DataFrame, keys: Sequence[str], chunk_rows: int) -> Dat
     block = F.when(F.col("n") < MIN_LENGTH, 1.0).otherwise(F.coalesce(F.least(raw, cap), F.lit(1.0)))
     return (
         folded.withColumn("_calm", calm).withColumn("_first", F.get(starts, F.lit(0)))
-        .withColumn("_bw", F.coalesce(F.least(2 * F.greatest(F.col("_first"), F.lit(1)), F.col("_m")), F.col("_m")))
+        .withColumn("_bw", F.when(F.col("_first").isNull(), F.col("_m")).otherwise(F.least(2 * F.greatest(F.col("_first"), F.lit(1)), F.col("_m"))))
         .withColumns({
             "_g": F.aggregate(lags, zero, lambda a, k: a + weight(k) * k),
             "_lr": F.aggregate(lags, cross(F.lit(0)) / F.col("n"), lambda a, k: a + weight(k)),

@@ -75,7 +75,7 @@ def managed_series(daily: DataFrame, specs: Sequence[Mapping[str, object]], per_
     rows = with_grid(rows, grid).filter("estimator = _e")
     warm = (F.col("month_no") - F.col("_start") < F.col("burn_in")) | (F.col("_seen") < 2)
     c = F.when(F.col("expanding"), F.col("_grow")).otherwise(F.col("_full"))
-    weight = F.when(F.col("expanding") & warm, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.col("cap"), c / F.col("variance"))))
+    weight = F.when(F.col("expanding") & warm, 1.0).otherwise(F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.col("cap"), c / F.col("variance")))))
     w = over(["series_id", "variant"], "date")
     rows = rows.withColumn("weight", weight)
     new_month = F.coalesce(F.lag("month_no").over(w) != F.col("month_no"), F.lit(True))

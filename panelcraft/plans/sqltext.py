@@ -81,7 +81,7 @@ SELECT c.*, c.x / c.n AS acv, (h.total - h.s) * t.s > 0 AND abs(c.x) / sqrt((h.t
 FROM {p}_cross c JOIN {p}_prefix h ON h.series_id = c.series_id AND h.idx = c.lag
 JOIN {p}_prefix t ON t.series_id = c.series_id AND t.idx = c.n - 2 - c.lag""")
     cte(f"{p}_bw", f"""
-SELECT series_id, n, coalesce(least(2 * greatest(first, 1), mm), mm) AS bw FROM (
+SELECT series_id, n, CASE WHEN first IS NULL THEN mm ELSE least(2 * greatest(first, 1), mm) END AS bw FROM (
   SELECT series_id, n, mm, min(lag) FILTER (run = kn AND lag <= mm - kn) AS first FROM (
     SELECT *, count(*) FILTER (calm) OVER (PARTITION BY series_id ORDER BY lag ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS run FROM {p}_lag)
   GROUP BY ALL)""")

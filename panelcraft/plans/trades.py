@@ -164,7 +164,7 @@ cte("cell_split", """
 SELECT *, split_part(series_id, '|', 1) AS symbol, split_part(series_id, '|', 2) AS venue, split_part(series_id, '|', 3)::DOUBLE AS capital_multiple,
        split_part(series_id, '|', 4)::INTEGER AS horizon, split_part(series_id, '|', 5) AS kind FROM cell_score""")
 cte("headlines", """
-SELECT *, least(median, lumpy) AS kill FROM (
+SELECT *, CASE WHEN median IS NOT NULL AND lumpy IS NOT NULL THEN least(median, lumpy) END AS kill FROM (
   SELECT symbol, venue, capital_multiple, horizon, median(psr0) FILTER (n >= 2 AND kind NOT IN ('lumpy', 'amortised')) AS median,
          min(psr0) FILTER (n >= 2 AND kind NOT IN ('lumpy', 'amortised')) AS min, max(psr0) FILTER (n >= 2 AND kind NOT IN ('lumpy', 'amortised')) AS max,
          max(psr0) FILTER (kind = 'lumpy') AS lumpy, max(psr0) FILTER (kind = 'amortised') AS amortised, max(n) FILTER (kind = '0') AS n_trades,
