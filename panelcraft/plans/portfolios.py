@@ -39,7 +39,7 @@ cte("month_trend", f"SELECT *, level / sma - 1 AS strength, level > sma AS activ
 
 
 def month_days(spark, sf):
-    return PF.complete_dates(asset_ret(spark, sf))
+    return PF.complete_dates(stage(asset_ret(spark, sf), "assets"))
 
 
 @query("win13_month_signal", "SELECT asset, month_no, month_end, k AS sma_months, round(level, 8) AS level, round(sma, 8) AS sma, active FROM month_trend")
@@ -113,7 +113,8 @@ _DAILY_SQL = "variant, date, month_no, " + ", ".join(f"round({c}, 8) AS {c}" for
 def sector_daily(spark, sf):
     days = stage(month_days(spark, sf), "assets")
     signals = PF.month_signals(days, [v["sma_months"] for v in SECTORS])
-    return PF.simulate(days, macro_panel(spark, sf), PF.targets(signals, SECTORS), SECTOR_EXPENSE)
+    targets = stage(PF.targets(signals, SECTORS), "targets")
+    return PF.simulate(days, macro_panel(spark, sf), targets, SECTOR_EXPENSE)
 
 
 @query("top01_strongest_assets", "SELECT variant, month_no, asset, round(target, 8) AS target FROM sector_target")
@@ -183,8 +184,9 @@ def cross_targets(days):
 
 def cross_daily(spark, sf):
     panel, days = cross_inputs(spark, sf)
+    days = stage(days, "days")
     per_asset = F.create_map(*[F.lit(x) for kv in CROSS_EXPENSE.items() for x in kv])
-    return PF.simulate(days, panel, cross_targets(days), F.element_at(per_asset, F.col("asset")) / EQUITY_DAYS)
+    return PF.simulate(days, panel, stage(cross_targets(days), "targets"), F.element_at(per_asset, F.col("asset")) / EQUITY_DAYS)
 
 
 @query("pnl11_long_or_cash", f"SELECT {_DAILY_SQL} FROM cross_daily")

@@ -73,7 +73,7 @@ cte("carried_next", "SELECT symbol, CAST(date AS DATE) AS date, annualized, lead
 SELECT symbol, date, round(annualized, 10) AS annualized, CASE WHEN annualized IS NOT NULL THEN round(annualized_next, 10) END AS annualized_next
 FROM carried_next""")
 def jn02(spark, sf):
-    yearly = settled(spark, sf).withColumn("annualized", annualize_rate(F.col("rate"), F.col("interval_hours")))
+    yearly = stage(settled(spark, sf), "settled").withColumn("annualized", annualize_rate(F.col("rate"), F.col("interval_hours")))
     out = A.carried_grid(yearly.select("symbol", "ts", "annualized"), "annualized", GAP_DAYS)
     return round_to(out, 10, "annualized", "annualized_next")
 
@@ -101,7 +101,7 @@ JOIN order_pairs USING (week_end, symbol) JOIN (SELECT week_end, count(*) AS n_e
 
 
 def cross_section(spark, sf):
-    return D.funded_cross_section(settled(spark, sf), order_pairs(spark, sf), GAP_DAYS)
+    return D.funded_cross_section(stage(settled(spark, sf), "settled"), order_pairs(spark, sf), GAP_DAYS)
 
 
 @query("jn06_eligible_cross_section", """

@@ -150,7 +150,7 @@ _SCORE = "series_id, n, status, effective_t, " + ", ".join(f"round({c}, 6) AS {c
 
 @query("scr06_series_score", f"SELECT {_SCORE} FROM asset_score")
 def scr06(spark, sf):
-    return round_to(S.score_series(asset_series(spark, sf)), 6, *_SCORE_COLS)
+    return round_to(S.score_series(stage(asset_series(spark, sf), "series")), 6, *_SCORE_COLS)
 
 
 # ---- cross-validation -----------------------------------------------------------------------------
@@ -250,7 +250,8 @@ score_ctes("fold", "test_rows")
 SELECT split_part(series_id, '/', 1) AS series_id, round(median(psr0), 6) AS median, round(min(psr0), 6) AS min, round(max(psr0), 6) AS max,
        count(psr0) AS n_scored FROM fold_score GROUP BY 1""")
 def scr21(spark, sf):
-    scores = S.score_series(CV.test_series(asset_series(spark, sf)), ["series_id", "split_id"])
+    series = stage(asset_series(spark, sf), "series")
+    scores = S.score_series(CV.test_series(series), ["series_id", "split_id"])
     return round_to(S.phase_bands(scores, ["series_id"]), 6, "median", "min", "max")
 
 
@@ -301,7 +302,8 @@ _LADDER = psr_of(
 
 @query("scr22_deflation_ladder", f"SELECT series_id, trials::INTEGER AS trials, round(v_sr, 9) AS v_sr, round(p, 6) AS dsr FROM ({_LADDER})")
 def scr22(spark, sf):
-    scores = S.score_series(asset_series(spark, sf)).withColumn("family", F.lit("assets"))
+    scores = S.score_series(stage(asset_series(spark, sf), "series")).withColumn("family", F.lit("assets"))
+    scores = stage(scores, "scores")
     out = S.deflation_ladder(scores, scores.select("family", "sr"), (8, 16, 32, 128), ["family"])
     return round_to(round_to(out.select("series_id", "trials", "v_sr", "dsr"), 9, "v_sr"), 6, "dsr")
 

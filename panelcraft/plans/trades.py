@@ -294,7 +294,7 @@ FROM option_trade c JOIN option_trade p ON c.entry_date = p.entry_date AND c.exp
 
 
 def straddle(spark, sf):
-    return O.straddles(O.short_trades(held(spark, sf, snaps(spark, sf))))
+    return O.straddles(stage(O.short_trades(held(spark, sf, snaps(spark, sf))), "legs"))
 
 
 _STR = ("net", "premium", "combined_delta", "moneyness")
@@ -315,7 +315,7 @@ FROM (VALUES ('all'), ('pre_etf'), ('post_etf')) v(name) LEFT JOIN (
     SELECT *, sum(net) OVER (PARTITION BY nm ORDER BY entry_date, expiry, strike, call_instrument, put_instrument) AS cum FROM (
       SELECT s.*, unnest(['all', regime]) AS nm FROM straddle s))) ON nm = name GROUP BY 1""")
 def agg13(spark, sf):
-    out = O.regime_tails(straddle(spark, sf), ["entry_date", "expiry", "strike", "call_instrument", "put_instrument"])
+    out = O.regime_tails(stage(straddle(spark, sf), "straddles"), ["entry_date", "expiry", "strike", "call_instrument", "put_instrument"])
     return round_to(out, 8, "mean_net", "frac_losing", "worst_loss", "max_drawdown", "margin_multiple")
 
 
@@ -331,7 +331,7 @@ SELECT * EXCLUDE (rn) FROM (SELECT l.*, row_number() OVER (PARTITION BY as_of, t
 
 @query("top02_straddle_selection", "SELECT as_of, expiry, strike, type, instrument FROM chosen")
 def top02(spark, sf):
-    return O.select_straddle(snaps(spark, sf)).select("as_of", "expiry", "strike", "type", "instrument")
+    return O.select_straddle(stage(snaps(spark, sf), "snapshots")).select("as_of", "expiry", "strike", "type", "instrument")
 
 
 @query("top03_representative_entry", """
@@ -347,7 +347,7 @@ SELECT CAST(c.as_of AS DATE) AS entry_date, c.shock, c.strike, round(greatest(0,
 FROM shocked c JOIN shocked p ON c.as_of = p.as_of AND c.shock = p.shock AND c.type = 'call' AND p.type = 'put'""".replace("shocked", "(SELECT *, bid - payoff + delta * (1 - underlying / terminal) - (least(0.0003, 0.125 * bid) + greatest(0.0005, mark - bid) + 2 * abs(delta) * 6.5 / 1e4 + least(0.00015, 0.125 * payoff)) - 0.04 * 0.15 * hold_hours / 8760.0 AS net FROM (SELECT *, greatest(CASE WHEN type = 'call' THEN terminal - strike ELSE strike - terminal END, 0) / terminal AS payoff FROM (SELECT c.*, shock, underlying * (1 - shock) AS terminal, (epoch_us(CAST(expiry AS TIMESTAMP)) - epoch_us(as_of)) / 3.6e9 AS hold_hours FROM chosen c, (VALUES (0.37::DOUBLE), (0.5::DOUBLE)) v(shock))))"))
 def pnl09(spark, sf):
     """Crash losses of the straddle selected at each snapshot."""
-    legs = held(spark, sf, O.select_straddle(snaps(spark, sf))).drop("terminal")
+    legs = held(spark, sf, O.select_straddle(stage(snaps(spark, sf), "snapshots"))).drop("terminal")
     return round_to(O.shock_losses(legs), 8, "loss", "margin_multiple")
 
 
