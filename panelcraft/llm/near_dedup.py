@@ -8,7 +8,8 @@
 4. Each band bucket compares its members with one pivot (star, not all pairs). Signatures, then full sets,
    confirm links. Components are taken.
 5. Buckets whose members are then in several components compare each member outside the pivot's component with
-   the members of other components, so no link between components is missed.
+   the members of other components, so no link between components is missed. Large buckets are dealt out in
+   blocks of bounded size; a task compares two blocks and returns the links it finds, not the pairs.
 
 No bucket is collected, capped or paired with itself as a whole; a near-clique costs one pair per member.
 """
@@ -34,6 +35,10 @@ N_HASHES = 240
 MISS = 1e-8
 #: Standard deviations that the signature estimate may lie below the threshold before the full sets are spared.
 SLACK = 6.5
+#: Buckets up to this size pair their members by a join; larger ones are compared block by block.
+SMALL_BUCKET = 64
+#: Members of a large bucket that one block holds on average; a task sees two blocks.
+BLOCK_MEMBERS = 384
 #: Shingles hashed at once; bounds the memory of one block of minima.
 BLOCK = 1024
 
@@ -86,13 +91,17 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, rows: int, n_hashes:
             names=["doc_id", "n", "d1", "d2", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, n_hashes: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, rows: int, n_hashes: int) -> Iterator[pa.RecordBatch]:
+    """Shingles, low bytes of the signature, and band keys as bytes."""
     hashes, (a, b) = WordHashes(), coefficients(n_hashes)
     for batch in batches:
         sets = [shingle_set(text, width, hashes) for text in binary(batch.column(1))]
-        marks = [(minima(s, a, b) & np.uint64(0xFF)).astype(np.uint8).tobytes() for s in sets]
+        signatures = [minima(s, a, b) for s in sets]
+        marks = [(x & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in signatures]
+        bands = [band_keys(x, rows).tobytes() for x in signatures]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), lists([s.view(np.int64) for s in sets], pa.int64()), pa.array(marks, pa.binary())], names=["id", "shingles", "marks"])
+            [batch.column(0), lists([s.view(np.int64) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.binary())],
+            names=["id", "shingles", "marks", "bands"])
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -101,11 +110,46 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = shared(a, b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def least_agreement(percent: int, n_hashes: int) -> float:
+    """Equal minima below which a pair at the threshold practically never falls."""
+    j = percent / 100
+    return n_hashes * (j - SLACK * np.sqrt(j * (1 - j) / n_hashes))
+
+
+def _compare(group: pa.Table, percent: int, n_hashes: int) -> pa.Table:
+    """Links between two blocks of a bucket (or inside one), where the components differ and one side strays.
+
+    A pair that shares several buckets is compared in the first of them only.
+    """
+    least = least_agreement(percent, n_hashes)
+    key, chunk, stray = group["key"][0].as_py(), group["chunk"].to_numpy(), group["stray"].to_numpy()
+    ids, comp, n, own = (group[c].to_numpy() for c in ("id", "comp", "n", "own"))
+    marks = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(len(ids), -1)
+    sets = [x.values.to_numpy() for x in group["shingles"]]
+    own_block = group["a"][0].as_py() == group["b"][0].as_py()
+    u, v = [], []
+    for x in np.flatnonzero(stray):
+        fits = (comp != comp[x]) & ((ids < ids[x]) | ~stray) & (own_block | (chunk != chunk[x]))
+        fits &= 100 * np.minimum(n - own, n[x] - own[x]) >= percent * np.maximum(n + own[x], n[x] + own)
+        at = np.flatnonzero(fits)
+        at = at[bands[at, (bands[at] == bands[x]).argmax(axis=1)] == key]
+        at = at[(marks[at] == marks[x]).sum(axis=1) >= least]
+        for y in at:
+            if similar(sets[x], sets[y], percent):
+                u.append(max(ids[x], ids[y]))
+                v.append(min(ids[x], ids[y]))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int, n_hashes: int) -> Iterator[pa.RecordBatch]:
     """Signature check, then exact intersection and union sizes."""
-    j = percent / 100
-    # equal low bytes of minima: with probability j for a shared minimum, else 1/256
-    least = n_hashes * (j - SLACK * np.sqrt(j * (1 - j) / n_hashes))
+    least = least_agreement(percent, n_hashes)
     for batch in batches:
         keep = []
         sets_u, sets_v = batch.column(2), batch.column(4)
@@ -115,8 +159,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, n_hashes: int) ->
                 keep.append(False)
                 continue
             x, y = sets_u[i].values.to_numpy(), sets_v[i].values.to_numpy()
-            both = shared(x, y)
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep.append(similar(x, y, percent))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -175,7 +218,8 @@ def _components_of_sets(texts: DataFrame, sketch: DataFrame, classes: DataFrame,
     ids = scratch.save(members.select("id").distinct(), "ids")
     sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]) if _repeats(sketch) else texts.join(
         ids, texts["doc_id"] == ids["id"], "left_semi")
-    sets = scratch.save(sets.mapInArrow(partial(_sets, width=width, n_hashes=n_hashes), "id long, shingles array<long>, marks binary"), "sets")
+    sets = scratch.save(sets.mapInArrow(partial(_sets, width=width, rows=band_rows(percent, n_hashes), n_hashes=n_hashes),
+        "id long, shingles array<long>, marks binary, bands binary"), "sets")
     single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
     own = scratch.save(single.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "own")
     size = sets.select("id", F.size("shingles").cast("long").alias("n")).join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
@@ -194,14 +238,26 @@ def _components_of_sets(texts: DataFrame, sketch: DataFrame, classes: DataFrame,
     member = scratch.save(member, "placed")
     main = pivots.join(node, pivots["pid"] == node["node"], "left").select("key", "pid", F.coalesce("component", "pid").alias("main"))
     main = scratch.save(main, "main")
-    stray = member.join(main, "key").where("comp <> main").select(
-        "key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("own").alias("xown"), F.col("comp").alias("xcomp"), "pid", "main")
-    stray = scratch.save(stray, "stray")
-    cross = stray.join(member, "key").where(
-        (F.col("comp") != F.col("xcomp")) & (F.col("id") != F.col("pid")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("id")))
+    member = scratch.save(member.join(main, "key").withColumn("stray", F.col("comp") != F.col("main")), "told")
+    open_ = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("stray").alias("split")).where("split").select("key", "c")
+    open_ = scratch.save(open_, "open")
+
+    small = scratch.save(member.join(open_.where(F.col("c") <= SMALL_BUCKET).select("key"), "key"), "small")
+    stray = small.where("stray").select(
+        "key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("own").alias("xown"), F.col("comp").alias("xcomp"))
+    cross = stray.join(small, "key").where(
+        (F.col("comp") != F.col("xcomp")) & (F.col("id") != F.col("pid")) & (~F.col("stray") | (F.col("x") < F.col("id")))
         & _possible(percent, "n", "own", "xn", "xown"))
     cross = cross.select(F.greatest("id", "x").alias("u"), F.least("id", "x").alias("v")).distinct()
     second = scratch.save(_links(cross, sets, percent, n_hashes), "cross")
+
+    large = member.join(open_.where(F.col("c") > SMALL_BUCKET), "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int"))
+    large = large.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = large.select("key", "id", "n", "own", "comp", "stray", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    dealt = dealt.select("*", F.least("chunk", "j").alias("a"), F.greatest("chunk", "j").alias("b")).drop("j")
+    third = dealt.join(sets, "id").groupBy("key", "a", "b").applyInArrow(
+        lambda group: _compare(group, percent, n_hashes), "u long, v long")
+    second = second.union(scratch.save(third, "blocks"))
     return scratch.save(components(first.union(second), scratch), "components")
 
 
