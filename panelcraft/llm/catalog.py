@@ -1,4 +1,4 @@
 """All queries of the subpackage."""
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, quality_classifier, quality_rules, sharding, url_filters  # noqa: F401
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, quality_classifier, quality_rules, sharding, url_filters, warc  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
