@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
+from .words import small
 
 #: Words remembered per worker before the cache starts anew.
 CACHE_WORDS = 300_000
@@ -246,7 +247,7 @@ def tokenizer(path: str) -> BpeTokenizer:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = tokenizer(path)
-    for batch in batches:
+    for batch in small(batches):
         ids, decoded = [], []
         for text in batch.column(1).to_pylist():
             found, _ = own.encode(text)
@@ -269,7 +270,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = tokenizer(path)
-    for batch in batches:
+    for batch in small(batches):
         n, a, b = [], [], []
         for text in batch.column(1).to_pylist():
             ids, decimal = own.encode(text)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .words import mix
+from .words import mix, small
 
 #: Number of hash buckets of n-grams.
 BUCKETS = 1 << 15
@@ -83,7 +83,7 @@ def document_buckets(text: str | None) -> Iterator[np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the counts of a task's texts, one matrix row per language it has met."""
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in small(batches):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for found in document_buckets(text):
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
 
 def _predict(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
     model: LanguageModel = shipped.value
-    for batch in batches:
+    for batch in small(batches):
         names, best = [], []
         for text in batch.column(1).to_pylist():
             p = model.scores(text) if model.languages else None
@@ -170,7 +170,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     at = docs.columns.index("text")
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             one = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
             for told in _predict(iter([one]), shipped):
                 yield pa.RecordBatch.from_arrays([told.column(1), *batch.columns], names=["_lang", *batch.schema.names])

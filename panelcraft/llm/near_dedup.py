@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .registry import query, table
 from .scratch import Scratch
-from .words import WordHashes, binary, lists, mix, shingle_set
+from .words import WordHashes, binary, lists, mix, shingle_set, small
 
 #: Number of universal hash functions.
 N_HASHES = 240
@@ -77,7 +77,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, rows: int, n_hashes: int) -> Iterator[pa.RecordBatch]:
     hashes, (a, b) = WordHashes(), coefficients(n_hashes)
-    for batch in batches:
+    for batch in small(batches):
         sizes, first, second, bands = [], [], [], []
         for text in binary(batch.column(1)):
             found = shingle_set(text, width, hashes)
@@ -94,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, rows: int, n_hashes:
 def _sets(batches: Iterator[pa.RecordBatch], width: int, rows: int, n_hashes: int) -> Iterator[pa.RecordBatch]:
     """Shingles, low bytes of the signature, and band keys as bytes."""
     hashes, (a, b) = WordHashes(), coefficients(n_hashes)
-    for batch in batches:
+    for batch in small(batches):
         sets = [shingle_set(text, width, hashes) for text in binary(batch.column(1))]
         signatures = [minima(s, a, b) for s in sets]
         marks = [(x & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in signatures]
@@ -150,7 +150,7 @@ def _compare(group: pa.Table, percent: int, n_hashes: int) -> pa.Table:
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int, n_hashes: int) -> Iterator[pa.RecordBatch]:
     """Signature check, then exact intersection and union sizes."""
     least = least_agreement(percent, n_hashes)
-    for batch in batches:
+    for batch in small(batches):
         keep = []
         sets_u, sets_v = batch.column(2), batch.column(4)
         for i, (mu, mv) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .language_id import fold
 from .registry import query, table
 from .scratch import Scratch
-from .words import lists, mix
+from .words import lists, mix, small
 
 #: Hash buckets of features; bucket 0 is the bias.
 BUCKETS = 1 << 18
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_row
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
-        for batch in batches:
+        for batch in small(batches):
             found = [features(text, hashes) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), lists([f[0] for f in found], pa.int32()), lists([f[1] for f in found], pa.float32())],
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_row
 
         def run(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             leader = Leader(state.value[0].copy(), state.value[1].copy())
-            for batch in batches:
+            for batch in small(batches):
                 for label, at, x in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                     leader.learn(at.values.to_numpy(), x.values.to_numpy().astype(np.float64), label)
             yield pa.RecordBatch.from_arrays([pa.array([leader.z.tobytes()]), pa.array([leader.n.tobytes()])], names=["z", "n"])
@@ -128,7 +128,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, w = TokenHashes(), shipped.value
-        for batch in batches:
+        for batch in small(batches):
             margin = []
             for text in batch.column(1).to_pylist():
                 at, x = features(text, hashes)

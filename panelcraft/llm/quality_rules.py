@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .words import WordHashes, binary, lists
+from .words import WordHashes, binary, lists, small
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -78,7 +78,7 @@ def repeats(words: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, in
 
 def _judge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in small(batches):
         rows, spans = [], []
         for text in binary(batch.column(1)):
             text = text or b""
