@@ -49,6 +49,14 @@ def _rows(names: list[str], rows) -> tuple[list[str], list[tuple[str, ...]]]:
     return [names[i] for i in order], sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+def compare_rows(df, con, sql: str) -> str:
+    """Empty if the frame and the statement give the same rows, else how they differ."""
+    left = _rows(df.columns, [tuple(r) for r in df.collect()])
+    cur = con.execute(sql)
+    right = _rows([d[0] for d in cur.description], cur.fetchall())
+    return "" if left == right and left[1] else f"{len(left[1])} rows against {len(right[1])}, {left[0]} against {right[0]}"
+
+
 def compare(spark: SparkSession, con, name: str, sf: str) -> str:
     from panelcraft.plans import catalog
 
