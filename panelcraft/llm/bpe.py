@@ -1,8 +1,7 @@
 """BPE encoding by backtracking over longest token matches, and decoding from an offset table.
 
 A word is a sequence of symbols: one per byte, the last one marked as word end. An Aho-Corasick automaton over
-the vocabulary gives, for every end position, the longest token that ends there; each token knows its next
-shorter token that is a suffix. Two neighbouring tokens are compatible if merging their joined symbols gives back
+the vocabulary gives, for every end position, the tokens that end there, longest first. Two neighbouring tokens are compatible if merging their joined symbols gives back
 the same two tokens. The exact merges of a word are the only chain of tokens with all neighbours compatible;
 the encoder walks from the left, keeps the longest compatible token that ends at each position, and so finds it
 in time linear in the word's length (tokens that end at a position are few and bounded by the longest token).
@@ -12,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -86,7 +86,7 @@ class BpeVocabulary:
 
 #: The white space class of the tokenizer's own regex engine.
 UNICODE_SPACE_IN_SET = r"\t\n\v\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_SPACES = regex.compile(f"[{UNICODE_SPACE_IN_SET}]+")
+_ASCII_SPACE, _CONTROL = re.compile(r"[\t\n\v\f\r ]+"), re.compile(r"[\x1c-\x1f]")
 
 
 def lower_each(text: str) -> str:
@@ -101,22 +101,14 @@ class BacktrackingEncoder:
     def __init__(self, vocabulary: BpeVocabulary) -> None:
         self.v = vocabulary
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for symbols, i in vocabulary.ids.items():
-            self.automaton.add_word(symbols, i)
-        self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int] = {}
         self.own: dict[int, bool] = {}
+        for symbols, i in vocabulary.ids.items():
+            if self._reachable(i):
+                self.automaton.add_word(symbols, (i, len(symbols)))
+        self.automaton.make_automaton()
         self.cache: dict[str, tuple[bytes, str]] = {}
 
-    def _next_shorter(self, token: int) -> int:
-        """The longest other token that is a suffix of this one; -1 if there is none."""
-        found = self.shorter.get(token)
-        if found is None:
-            s = self.v.symbols[token]
-            found = self.shorter[token] = next((self.v.ids[s[k:]] for k in range(1, len(s)) if s[k:] in self.v.ids), -1)
-        return found
-
     def _seam_holds(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge of a rank below ``limit`` crosses the seam between tokens a and b.
 
@@ -162,29 +154,29 @@ class BacktrackingEncoder:
         return known
 
     def word(self, symbols: str) -> list[int]:
-        """Token ids of one word given as symbols."""
+        """Token ids of one word given as symbols.
+
+        The automaton reports matches by end position, the longest first; the first that is compatible with the
+        token before it is the last token of the prefix that ends there.
+        """
         whole = self.v.ids.get(symbols)
         if whole is not None and self._reachable(whole):
             return [whole]
         n = len(symbols)
-        ends: list[list[int]] = [[] for _ in range(n)]
-        for at, token in self.automaton.iter(symbols):
-            ends[at].append(token)
-        last = [-1] * n
-        for at in range(n):
-            if not ends[at]:
+        last, size, known = [-1] * n, [0] * n, self.compatible
+        for at, (token, length) in self.automaton.iter(symbols):
+            if last[at] >= 0:
                 continue
-            token = max(ends[at], key=lambda t: len(self.v.symbols[t]))
-            while token >= 0:
-                start = at + 1 - len(self.v.symbols[token])
-                if self._reachable(token) and (start == 0 or (last[start - 1] >= 0 and self._agree(last[start - 1], token))):
-                    last[at] = token
-                    break
-                token = self._next_shorter(token)
+            start = at - length
+            if start >= 0:
+                fits = known.get((last[start], token))
+                if not (self._agree(last[start], token) if fits is None else fits):
+                    continue
+            last[at], size[at] = token, length
         out, at = [], n - 1
         while at >= 0:
             out.append(last[at])
-            at -= len(self.v.symbols[last[at]])
+            at -= size[at]
         return out[::-1]
 
     def __call__(self, word: str) -> tuple[bytes, str]:
@@ -197,30 +189,45 @@ class BacktrackingEncoder:
         return found
 
 
-class BpeTokenizer:
-    """Whole texts: special tokens, normalisation, pre-tokens, encoder and decoder."""
+class BpeTokenizer(dict):
+    """Whole texts: special tokens, normalisation, pre-tokens, encoder and decoder. Remembers chunks it has met."""
 
     def __init__(self, vocabulary: BpeVocabulary) -> None:
+        super().__init__()
         self.v, self.encoder = vocabulary, BacktrackingEncoder(vocabulary)
 
     def words(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        return self.v.pattern.findall(lower_each(_SPACES.sub(" ", text)))
+        """Pre-tokens. White space is never part of one, so runs of it need no replacing."""
+        return self.v.pattern.findall(lower_each(unicodedata.normalize("NFC", text)))
 
-    def _parts(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def __missing__(self, chunk: str) -> tuple[bytes, str]:
         cache, encoder = self.encoder.cache, self.encoder
+        parts = [cache.get(w) or encoder(w) for w in self.words(chunk)]
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[chunk] = (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+        return found
+
+    def _chunks(self, text: str) -> list[str]:
+        """The text cut at white space, where neither normalisation nor pre-tokens reach across.
+
+        Python also cuts at four control signs that the tokenizer does not take for white space.
+        """
+        return _ASCII_SPACE.split(text) if _CONTROL.search(text) else text.split()
+
+    def _parts(self, text: str) -> Iterator[tuple[bytes, str]]:
         at = 0
         for m in self.v.special_pattern.finditer(text) if self.v.special_pattern else ():
-            yield from (cache.get(w) or encoder(w) for w in self.words(text[at : m.start()]))
+            yield from map(self.__getitem__, self._chunks(text[at : m.start()]))
             i = self.v.special[m.group()]
             yield array("I", [i]).tobytes(), str(i)
             at = m.end()
-        yield from (cache.get(w) or encoder(w) for w in self.words(text[at:]))
+        yield from map(self.__getitem__, self._chunks(text[at:]))
 
     def encode(self, text: str | None) -> tuple[np.ndarray, str]:
         """Ids, and the same as decimal text joined by spaces. Null counts as empty."""
         parts = list(self._parts(text or ""))
-        return np.frombuffer(b"".join([p[0] for p in parts]), np.uint32), " ".join([p[1] for p in parts])
+        return np.frombuffer(b"".join([p[0] for p in parts]), np.uint32), " ".join([p[1] for p in parts if p[1]])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The pieces of the ids, one space between them, gathered from the offset table."""
