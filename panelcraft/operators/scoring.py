@@ -93,7 +93,7 @@ def _with_blocks(series: DataFrame, keys: Sequence[str], chunk_rows: int) -> Dat
     )
     cap = F.ceil(F.least(3.0 * F.sqrt("n"), F.col("n") / 3.0)).cast("double")
     raw = F.cbrt(F.pow(F.col("_g") / F.nullif(F.col("_lr"), F.lit(0.0)), F.lit(2.0)) * F.col("n"))
-    block = F.when(F.col("n") < MIN_LENGTH, 1.0).otherwise(F.coalesce(F.least(raw, cap), F.lit(1.0)))
+    block = F.when((F.col("n") < MIN_LENGTH) | (F.col("_lr") == 0), 1.0).otherwise(F.coalesce(F.least(raw, cap), F.lit(1.0)))
     return (
         folded.withColumn("_calm", calm).withColumn("_first", F.get(starts, F.lit(0)))
         .withColumn("_bw", F.when(F.col("_first").isNull(), F.col("_m")).otherwise(F.least(2 * F.greatest(F.col("_first"), F.lit(1)), F.col("_m"))))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,7 +42,8 @@ def index_bar_violations(bars: DataFrame) -> DataFrame:
     """Index bars whose four prices are not all positive, or whose open or close leaves [low, high]."""
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
     rule = (
-        F.when(F.least(*prices) <= 0, "non_positive_price")
+        F.when(reduce(or_, [_bad_number(c) for c in ("open", "high", "low", "close")]), "missing_value")
+        .when(F.least(*prices) <= 0, "non_positive_price")
         .when(F.greatest(*prices) > F.col("high"), "above_high")
         .when(F.least(*prices) < F.col("low"), "below_low")
     )
@@ -125,8 +128,8 @@ def option_violations(chain: DataFrame, prefix: str) -> DataFrame:
     """Option rows with a foreign symbol, unknown type, bad strike or underlying, or absurd moneyness."""
     moneyness = F.col("strike") / F.nullif(F.col("underlying"), F.lit(0.0))
     rule = (
-        F.when(~F.col("instrument").startswith(prefix), "foreign_symbol")
-        .when(~F.col("type").isin("call", "put"), "unknown_type")
+        F.when(~F.coalesce(F.col("instrument").startswith(prefix), F.lit(False)), "foreign_symbol")
+        .when(~F.coalesce(F.col("type").isin("call", "put"), F.lit(False)), "unknown_type")
         .when(F.coalesce(F.col("strike") <= 0, F.lit(True)), "non_positive_strike")
         .when(F.coalesce(F.col("underlying") <= 0, F.lit(True)), "non_positive_underlying")
         .when(~moneyness.between(0.01, 100.0), "absurd_moneyness")

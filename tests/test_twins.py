@@ -368,3 +368,13 @@ def test_streamed_average_equals_batch(spark, tmp_path):
     want = pdf.groupby("symbol")["close"].transform(lambda x: x.ewm(span=12, adjust=False, min_periods=12).mean())
     np.testing.assert_allclose(got["ema"].to_numpy(float), want.to_numpy(), rtol=1e-12)
     assert got["rsi"].notna().sum() == 2 * (90 - 14)
+
+
+def test_rules_catch_missing_values(spark):
+    from panelcraft.operators import validate
+
+    bars = spark.createDataFrame([(1.0, 2.0, 1.0, None), (1.0, 2.0, 1.0, 1.5), (float("nan"), 2.0, 1.0, 1.0)], "open double, high double, low double, close double")
+    assert [r["rule"] for r in validate.index_bar_violations(bars).collect()] == ["missing_value"] * 2
+    chain = spark.createDataFrame([(None, "call", 1.0, 1.0), ("BTC-1", None, 1.0, 1.0), ("BTC-1", "put", 1.0, 1.0)],
+                                  "instrument string, type string, strike double, underlying double")
+    assert sorted(r["rule"] for r in validate.option_violations(chain, "BTC").collect()) == ["foreign_symbol", "unknown_type"]
