@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import week_end
 from ..functions.ema import span, wilder, with_ema
@@ -37,21 +37,10 @@ def _in_range(value: Column, low: Column, high: Column, scale: float = 1.0) -> C
 
 def sma_ratios(daily: DataFrame) -> DataFrame:
     """Moving averages of price and volume over their current value."""
-    w = over(_KEY, _ORDER)
     inputs = {"sma": "close", "volsma": "dollar_volume"}
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = daily.withColumns({f"_{name}": F.struct(F.sum(c).over(so_far).alias("s"), F.count(c).over(so_far).alias("n")) for name, c in inputs.items()})
-
-    def mean(name: str, n: int) -> Column:
-        """Difference of two running sums: long windows cost no more than short ones."""
-        now, then = F.col(f"_{name}"), F.lag(f"_{name}", n).over(w)
-        total = now["s"] - F.coalesce(then["s"], F.lit(0.0))
-        return F.when(now["n"] - F.coalesce(then["n"], F.lit(0)) == n, total / n)
-
-    ratios = {
-        f"{name}_{n}d": _ratio(mean(name, n), F.col(c)) for name, c in inputs.items() for n in SMA_LENGTHS
-    }
-    return out.withColumns(ratios).drop("_sma", "_volsma")
+    return daily.withColumns({
+        f"{name}_{n}d": _ratio(_roll(c, "mean", n), F.col(c)) for name, c in inputs.items() for n in SMA_LENGTHS
+    })
 
 
 def oscillators(daily: DataFrame) -> DataFrame:

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.windows import over
 
 FACTORS = ("mkt_rf", "smb", "hml", "rmw", "cma")
-MAX_LAG = 40
 
 
 def tilt_difference(panel: DataFrame, expense: Column | float, portfolio_ret: str = "ret") -> DataFrame:
@@ -48,7 +47,8 @@ def factor_regression(
 
     The product sums are aggregated on the cluster; only a matrix of a few numbers per portfolio is
     inverted in Python. The intercept's variance needs one scalar per row, u = a'x e with a the first
-    row of the inverse, and its autocovariances over Bartlett-weighted lags.
+    row of the inverse. Its Bartlett-weighted autocovariances up to lag L are the mean square of sums of u over
+    all windows of L + 1 places that touch the series: differences of one running sum, for any L.
     """
     keys = list(keys)
     y = F.col("ret") - F.col("rf")
@@ -59,17 +59,20 @@ def factor_regression(
     fit = sum((F.col("_s")[i] * x for i, x in enumerate(xs)), F.lit(0.0))
     lever = sum((F.col("_s")[k + i] * x for i, x in enumerate(xs)), F.lit(0.0))
     rows = rows.withColumn("_u", lever * (y - fit))
+    reach = F.greatest(F.lit(1), F.floor(4.0 * F.pow(F.col("n") / 100.0, F.lit(2.0 / 9.0))).cast("int"))
     w = over(keys, "date")
-    lags = rows.withColumns({f"_u{ell}": F.lag("_u", ell).over(w) for ell in range(1, MAX_LAG + 1)})
-    reach = F.greatest(F.lit(1), F.floor(4.0 * F.pow(F.first("n") / 100.0, F.lit(2.0 / 9.0))).cast("int"))
-    sums = lags.groupBy(*keys).agg(
-        F.first("n").cast("bigint").alias("n"), F.first("_s").alias("_s"), reach.alias("lag"), F.sum(F.col("_u") * F.col("_u")).alias("_v"),
-        F.array(*[F.coalesce(F.sum(F.col("_u") * F.col(f"_u{ell}")), F.lit(0.0)) for ell in range(1, MAX_LAG + 1)]).alias("_g"),
-    )
-    long_run = F.col("_v") + F.aggregate(
-        F.sequence(F.lit(1), F.least(F.col("lag"), F.lit(MAX_LAG))), F.lit(0.0),
-        lambda a, ell: a + 2.0 * (1.0 - ell / (F.col("lag") + 1.0)) * F.get("_g", ell - 1),
-    )
+    placed = rows.withColumn("lag", reach).select(
+        *keys, "n", "lag", F.row_number().over(w).cast("bigint").alias("_t"),
+        F.sum("_u").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"))
+    # the sum up to t opens the window that ends at t, and closes the one that ends L + 1 places later
+    after = F.sequence(F.col("_t") + 1, F.col("_t") + F.col("lag"))
+    ends = F.when(F.col("_t") == F.col("n"), F.concat(F.array("_t"), after)).otherwise(F.array("_t"))
+    opened = placed.select(*keys, "lag", F.explode(ends).alias("_t"), "_sum")
+    closed = placed.filter("_t < n").select(*keys, "lag", (F.col("_t") + F.col("lag") + 1).alias("_t"), (-F.col("_sum")).alias("_sum"))
+    windows = opened.unionByName(closed).groupBy(*keys, "lag", "_t").agg(F.sum("_sum").alias("_w"))
+    spread = windows.groupBy(*keys, "lag").agg((F.sum(F.col("_w") * F.col("_w")) / (F.first("lag") + 1)).alias("_v"))
+    sums = spread.join(solved, keys).withColumn("n", F.col("n").cast("bigint"))
+    long_run = F.col("_v")
     out = sums.withColumn("_se", F.sqrt(F.greatest(long_run, F.lit(0.0)))).select(
         *keys, "n", "lag", F.col("_s")[0].alias("alpha"), (F.col("_s")[0] * per_year).alias("alpha_ann"),
         F.when(F.col("_se") > 0, F.col("_s")[0] / F.col("_se")).otherwise(0.0).alias("alpha_t"),

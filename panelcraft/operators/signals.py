@@ -125,7 +125,8 @@ def _sparse_minimum(h: np.ndarray, xy: np.ndarray, l1: float, w: np.ndarray) ->
     """Minimum of w'hw/2 - xy'w + l1*|w| by searching over signs (Lee, Battle, Raina and Ng 2007).
 
     With the signs of the active columns fixed the minimum is one small linear solve; a step that would
-    flip a sign stops at the best zero crossing. Exact, and a few solves when started from a neighbour.
+    flip a sign stops at the best zero crossing. Exact, and a few solves when started from a neighbour; a search
+    that does not end is an error, never an unfinished answer.
     """
     w = w.copy()
     signs = np.sign(w)
@@ -151,6 +152,8 @@ def _sparse_minimum(h: np.ndarray, xy: np.ndarray, l1: float, w: np.ndarray) ->
         cost = 0.5 * np.einsum("ij,jk,ik->i", points, sub, points) - points @ xy[on] + l1 * np.abs(points).sum(axis=1)
         w[on] = points[int(np.argmin(cost))]
         signs = np.sign(w)
+    else:
+        raise ArithmeticError(f"sign search did not end within {MAX_STEPS} steps")
     return w
 
 
@@ -204,9 +207,9 @@ def select_signals(pooled: DataFrame, signals: Sequence[str] = SIGNALS) -> DataF
     return kept.filter("_s.kept").select("week_end", F.col("_s.signal").alias("signal"))
 
 
-def combine(long: DataFrame, selected: DataFrame) -> DataFrame:
-    """Mean of the selected forecasts of every (week, symbol); rows without one are dropped."""
-    joined = long.join(selected, ["week_end", "signal"], "left_semi")
+def combine(long: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """Mean of the selected forecasts (of all, without a selection) of every (week, symbol); rows without one are dropped."""
+    joined = long if selected is None else long.join(selected, ["week_end", "signal"], "left_semi")
     mean = joined.groupBy("week_end", "symbol").agg(F.avg("rhat").alias("score"), F.first("forward_return").alias("forward_return"))
     return mean.filter("score IS NOT NULL")
 

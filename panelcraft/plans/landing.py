@@ -152,7 +152,7 @@ def src08(spark, sf):
     """Yearly files whose columns come in different orders and numbers."""
     root, curve = scratch_path(spark, "rates"), rate_curve(spark, sf)
     paths = {}
-    for year in range(1995, 2002):
+    for (year,) in sorted(curve.select(F.year("date")).distinct().collect()):  # bounded by the calendar
         paths[year] = f"{root}/{year}"
         day = F.date_format("date", "MM/dd/yyyy").alias("Date")
         ten = F.format_string("%.10f", 100.0 * F.col("bond_yield")).alias("10 Yr")

@@ -445,7 +445,7 @@ def scr29_factor(spark, sf):
 
 # ---- weekly volatility-capped trend ---------------------------------------------------------------
 
-SMA, VOL, COST, START = 50, 20, 0.0028, "1995-06-01"
+SMA, VOL, COST, START = 200, 60, 0.0028, "1995-06-01"
 cte("trend_days", """
 SELECT *, epoch(date)::BIGINT // 86400 AS d FROM bars_strict""")
 cte("trend_ret", "SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY symbol ORDER BY d) = 1 THEN ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY d)) END AS lr FROM trend_days")
@@ -469,22 +469,24 @@ def win15(spark, sf):
 @query("jn10_pair_covariance", f"""
 SELECT symbol_a, symbol_b, date, CASE WHEN count(*) OVER w = {VOL} THEN round(covar_samp(ra, rb) OVER w * 365, 8) END AS cov FROM (
   SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, a.date, a.lr AS ra, b.lr AS rb FROM trend_ret a JOIN trend_ret b ON a.date = b.date
-  WHERE a.symbol = 'A' AND b.symbol <> 'A' AND a.lr IS NOT NULL AND b.lr IS NOT NULL)
+  WHERE a.symbol < b.symbol AND a.lr IS NOT NULL AND b.lr IS NOT NULL)
 WINDOW w AS (PARTITION BY symbol_a, symbol_b ORDER BY date ROWS {VOL - 1} PRECEDING)""")
 def jn10(spark, sf):
-    """Rolling covariance of one benchmark symbol with every other."""
+    """Rolling covariance of every pair of symbols."""
     signals = trend_signals(spark, sf)
-    pairs = signals.filter("symbol <> 'A'").select(F.lit("A").alias("symbol_a"), F.col("symbol").alias("symbol_b")).distinct()
+    names = signals.select("symbol").distinct()
+    other = names.withColumnRenamed("symbol", "symbol_b")
+    pairs = names.withColumnRenamed("symbol", "symbol_a").join(other, F.col("symbol_a") < F.col("symbol_b"))
     return round_to(WT.rolling_covariance(signals, pairs, VOL), 8, "cov")
 
 
 cte("sundays", """
 SELECT *, inv / sum(inv) OVER (PARTITION BY date) AS base FROM (
   SELECT date, symbol, vol, active, CASE WHEN active THEN 1.0 / vol END AS inv, count(*) OVER (PARTITION BY date) AS n FROM trend_sig WHERE dayofweek(date) = 0) WHERE n = 3""")
-cte("book_var", """
+cte("book_var", f"""
 SELECT x.date, sqrt(sum(x.base * y.base * c)) AS book FROM sundays x JOIN sundays y ON x.date = y.date JOIN (
   SELECT s.date, a.symbol AS sa, b.symbol AS sb, covar_samp(a.lr, b.lr) * 365 AS c FROM (SELECT DISTINCT date FROM sundays) s
-  JOIN trend_ret a ON a.date BETWEEN s.date - 19 AND s.date JOIN trend_ret b ON b.date = a.date GROUP BY 1, 2, 3) v
+  JOIN trend_ret a ON a.date BETWEEN s.date - {VOL - 1} AND s.date JOIN trend_ret b ON b.date = a.date GROUP BY 1, 2, 3) v
 ON v.date = x.date AND sa = x.symbol AND sb = y.symbol WHERE x.active AND y.active GROUP BY 1""")
 cte("week_target", """
 SELECT s.date AS signal_date, symbol, coalesce(base * scale, 0) AS target, coalesce(book * scale, 0) AS est_vol, coalesce(sum(base * vol) OVER (PARTITION BY s.date) * scale, 0) AS corr_one_vol,
@@ -552,11 +554,18 @@ def pnl14_drawdown(spark, sf):
     return round_to(R.max_drawdown(path, "equity", ["signal_date", "date", "ord"]).drop("series_id"), 8, "max_drawdown")
 
 
+cte("trend_span", "SELECT min(date) AS a, max(date) AS z FROM (SELECT date FROM bars_strict GROUP BY 1 HAVING count(*) = 3)")
+
+
 @query("pnl15_buy_and_hold", """
-SELECT date, round(sum(CASE WHEN date = DATE '2001-10-31' THEN b.open ELSE close END / base / 3), 8) AS equity, count(*) AS n_marked
-FROM bars_strict b JOIN (SELECT symbol, open AS base FROM bars_strict WHERE date = DATE '1996-01-01') USING (symbol) WHERE date BETWEEN DATE '1996-01-01' AND DATE '2001-10-31' GROUP BY 1""")
+SELECT date, round(sum(CASE WHEN date = z THEN b.open ELSE close END / base / 3), 8) AS equity, count(*) AS n_marked
+FROM bars_strict b JOIN trend_span ON date BETWEEN a AND z JOIN (SELECT symbol, open AS base FROM bars_strict JOIN trend_span ON date = a) USING (symbol) GROUP BY 1""")
 def pnl15(spark, sf):
-    return round_to(WT.buy_and_hold(bars_strict(spark, sf), "1996-01-01", "2001-10-31", 3), 8, "equity")
+    """From the first day that all three symbols have to the last."""
+    bars = stage(bars_strict(spark, sf), "bars")
+    common = bars.groupBy("date").agg(F.count(F.lit(1)).alias("n")).filter("n = 3")
+    first, last = common.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return round_to(WT.buy_and_hold(bars, first, last, 3), 8, "equity")
 
 
 cte("week_series", "SELECT 'trend/' || grp AS series_id, row_number() OVER (PARTITION BY grp ORDER BY signal_date) - 1 AS idx, ret FROM (SELECT signal_date, net_return AS ret, unnest([0]) AS grp FROM week_result)")

@@ -19,7 +19,7 @@ from .registry import cte, query
 from .sqltext import score_ctes
 from .stage import scratch_path, stage
 
-WINDOW = 26
+WINDOW = 52
 
 # ---- indicators -----------------------------------------------------------------------------------
 
@@ -243,11 +243,9 @@ def sig06(spark, sf):
 
 
 @query("sig05_combined_forecast", """
-SELECT week_end, symbol, round(avg(rhat), 8) AS score FROM sig_forecast WHERE signal IN ('rsi', 'macd', 'sma_20d', 'volsma_5d') GROUP BY 1, 2 HAVING count(rhat) > 0""")
+SELECT week_end, symbol, round(avg(rhat), 8) AS score FROM sig_forecast GROUP BY 1, 2 HAVING count(rhat) > 0""")
 def sig05(spark, sf):
-    rows = long_forecasts(spark, sf)
-    kept = rows.filter(F.col("signal").isin("rsi", "macd", "sma_20d", "volsma_5d")).select("week_end", "signal").distinct()
-    return round_to(SG.combine(rows, kept).select("week_end", "symbol", "score"), 8, "score")
+    return round_to(scored(spark, sf).select("week_end", "symbol", "score"), 8, "score")
 
 
 @query("sig08_cross_sectional_forecasts")
@@ -256,17 +254,15 @@ def sig08(spark, sf):
     return SG.cross_sectional_forecasts(stage(frame(spark, sf), "frame"), WINDOW)
 
 
-# Buckets on a fixed average of four forecasts, so that everything after the selection has a SQL twin.
-cte("scored", "SELECT week_end, symbol, avg(rhat) AS score, forward_return FROM sig_forecast WHERE signal IN ('rsi', 'macd', 'sma_20d', 'volsma_5d') GROUP BY 1, 2, 4 HAVING count(rhat) > 0")
+# Buckets on the mean of all forecasts, so that everything after the selection has a SQL twin.
+cte("scored", "SELECT week_end, symbol, avg(rhat) AS score, forward_return FROM sig_forecast GROUP BY 1, 2, 4 HAVING count(rhat) > 0")
 cte("bucketed", """
 SELECT week_end, symbol, score, forward_return, least(4, (rn - 1) * 5 // n)::INTEGER AS bucket FROM (
   SELECT *, row_number() OVER (PARTITION BY week_end ORDER BY round(score, 10), symbol) AS rn, count(*) OVER (PARTITION BY week_end) AS n FROM scored) WHERE n >= 5""")
 
 
 def scored(spark, sf):
-    rows = long_forecasts(spark, sf)
-    kept = rows.filter(F.col("signal").isin("rsi", "macd", "sma_20d", "volsma_5d")).select("week_end", "signal").distinct()
-    return SG.combine(rows, kept)
+    return SG.combine(long_forecasts(spark, sf))
 
 
 def bucketed(spark, sf):
@@ -369,12 +365,12 @@ def scr22(spark, sf):
 # ---- audits, fingerprints, trials -----------------------------------------------------------------
 
 @query("set03_panel_difference", """
-SELECT 'left' AS side, symbol, date FROM bars WHERE NOT (symbol IN (SELECT symbol FROM universe WHERE eligible AND week_end >= DATE '2001-10-01')) UNION ALL
+SELECT 'left' AS side, symbol, date FROM bars WHERE NOT (symbol IN (SELECT symbol FROM universe WHERE eligible)) UNION ALL
 SELECT 'right', symbol, date - 7000 FROM bars WHERE symbol = 'Brand#1'""")
 def set03(spark, sf):
     """Rows two versions of a panel do not share: one lost symbols, the other gained moved rows."""
     base = stage(bars(spark, sf), "bars")
-    flagged = P.liquid_universe(P.weekly_panel(base), top_n=10).filter(F.col("week_end") >= F.lit("2001-10-01").cast("date"))
+    flagged = P.liquid_universe(P.weekly_panel(base), top_n=10)
     full = base.select("symbol", "date")
     moved = full.filter("symbol = 'Brand#1'").select("symbol", F.date_sub("date", 7000).alias("date"))
     other = P.trim_to(full, P.ever_eligible(flagged)).unionByName(moved)

@@ -15,7 +15,7 @@ from .registry import cte, query
 from .sqltext import score_ctes
 from .stage import stage
 
-HORIZONS = (3, 9)
+HORIZONS = (1, 3, 9, 21, 63, 189)
 AS_OF = ("2024-01-06 00:00:00", "2024-01-14 00:00:00", "2024-01-22 00:00:00", "2024-01-30 00:00:00")
 
 # ---- carry ----------------------------------------------------------------------------------------
@@ -25,11 +25,11 @@ SELECT *, (spot_t + 2.0 + perp_t + 1.5) / 1e4 AS taker, (spot_m + 2.0 + perp_m +
  ('kraken', true, 26.0, 16.0, 5.0, 2.0), ('hyperliquid', true, 26.0, 16.0, 4.5, 1.5),
  ('binance_reference', false, 10.0, 10.0, 5.0, 2.0), ('okx_reference', false, 10.0, 8.0, 5.0, 2.0)) v(venue, tradeable, spot_t, spot_m, perp_t, perp_m)""")
 cte("obs_prefix", "SELECT *, sum(funding_rate) OVER (PARTITION BY symbol ORDER BY idx) AS cum FROM obs")
-cte("carry_gross", """
+cte("carry_gross", f"""
 SELECT a.symbol, h AS horizon, a.idx AS entry_idx, b.idx AS exit_idx, a.dt AS entry_dt, b.dt AS exit_dt, b.cum - a.cum AS funding_collected,
        (b.spot_close - a.spot_close) / a.spot_close AS spot_leg_pnl, -(b.perp_close - a.perp_close) / a.perp_close AS perp_leg_pnl,
        (epoch_us(b.dt) - epoch_us(a.dt)) / 3.6e9 AS hold_hours
-FROM obs_prefix a, (VALUES (3), (9)) v(h) JOIN obs_prefix b ON b.symbol = a.symbol AND b.idx = a.idx + h""")
+FROM obs_prefix a, (VALUES {', '.join(f'({h})' for h in HORIZONS)}) v(h) JOIN obs_prefix b ON b.symbol = a.symbol AND b.idx = a.idx + h""")
 cte("carry_net", """
 SELECT *, gross - round_trip_cost - financing_cost AS net FROM (
   SELECT c.*, venue, tradeable, m AS capital_multiple, taker AS entry_cost, taker AS exit_cost, 2 * taker AS round_trip_cost,
@@ -353,12 +353,12 @@ def pnl09(spark, sf):
 
 # ---- variance premium -----------------------------------------------------------------------------
 
-WINDOW = 5
-cte("realized", """
-SELECT symbol, date, rv AS rv_trailing, lead(rv, 5) OVER (PARTITION BY symbol ORDER BY date) AS rv_forward FROM (
-  SELECT symbol, date, CASE WHEN count(sq) OVER w = 5 THEN sum(sq) OVER w * 365.0 / 5 END AS rv FROM (
+WINDOW = 30
+cte("realized", f"""
+SELECT symbol, date, rv AS rv_trailing, lead(rv, {WINDOW}) OVER (PARTITION BY symbol ORDER BY date) AS rv_forward FROM (
+  SELECT symbol, date, CASE WHEN count(sq) OVER w = {WINDOW} THEN sum(sq) OVER w * 365.0 / {WINDOW} END AS rv FROM (
     SELECT symbol, date, power(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)), 2) AS sq FROM bars_strict)
-  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING))""")
+  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS {WINDOW - 1} PRECEDING))""")
 
 
 @query("win07_realized_variance", "SELECT symbol, date, round(rv_trailing, 9) AS rv_trailing, round(rv_forward, 9) AS rv_forward FROM realized")
@@ -395,12 +395,12 @@ def scr27(spark, sf):
 
 
 @query("jn04_implied_realized", """
-SELECT date, round(dvol_close, 8) AS dvol_close, round(close, 8) AS close FROM (
-  SELECT CAST(ts AS DATE) - 9132 AS date, 50.0 + 10.0 * avg(value) / 250.0 AS dvol_close FROM events GROUP BY 1) JOIN (SELECT date, close FROM bars_strict WHERE symbol = 'A') USING (date)""")
+SELECT symbol, date, round(dvol_close, 8) AS dvol_close, round(close, 8) AS close FROM (
+  SELECT CAST(ts AS DATE) - 9132 AS date, 50.0 + 10.0 * avg(value) / 250.0 AS dvol_close FROM events GROUP BY 1) JOIN bars_strict USING (date)""")
 def jn04(spark, sf):
     implied = index_level(spark, sf).withColumn("date", F.date_sub("date", 9132))
-    closes = bars_strict(spark, sf).filter("symbol = 'A'").select("date", "close")
-    return round_to(implied.join(closes, "date"), 8, "dvol_close", "close")
+    closes = bars_strict(spark, sf).select("symbol", "date", "close")
+    return round_to(implied.join(closes, "date").select("symbol", "date", "dvol_close", "close"), 8, "dvol_close", "close")
 
 
 @query("agg19_regime_stats", """
@@ -427,9 +427,9 @@ def vrp_series(spark, sf):
     return numbered(premium(spark, sf).filter("vrp_forward IS NOT NULL"), "symbol", "vrp_forward")
 
 
-@query("scr11_strided_phases", """
+@query("scr11_strided_phases", f"""
 SELECT series_id, round(median(m), 8) AS phase_median, round(min(m), 8) AS phase_min, round(max(m), 8) AS phase_max, max(n) FILTER (phase = 0) AS n_strided FROM (
-  SELECT series_id, idx % 5 AS phase, avg(ret) AS m, count(*) AS n FROM vrp_series GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1""")
+  SELECT series_id, idx % {WINDOW} AS phase, avg(ret) AS m, count(*) AS n FROM vrp_series GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1""")
 def scr11(spark, sf):
     return round_to(VP.strided_means(vrp_series(spark, sf), WINDOW), 8, "phase_median", "phase_min", "phase_max")
 
