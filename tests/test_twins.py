@@ -29,7 +29,7 @@ from panelcraft.operators import validate as V
 from panelcraft.sources import landed as L
 from panelcraft.streaming import jobs as J
 
-DAY = dt.date(2020, 1, 6)
+DAY = dt.date(2017, 3, 13)  # a Monday
 
 
 def one(spark, *columns):
@@ -83,11 +83,12 @@ def test_recursive_average_equals_recursion(spark):
 
 
 def sample_bars(n: int = 300):
-    i = np.arange(n)
-    close = 100 + 8 * np.sin(i / 2) + 0.7 * i
+    rng = np.random.default_rng(17)
+    close = 40 * np.exp(np.cumsum(rng.normal(0.0005, 0.025, n)))
+    reach = rng.uniform(0.001, 0.03, (2, n))
     return pd.DataFrame({
-        "symbol": "AAA", "date": [DAY + dt.timedelta(days=int(k)) for k in i], "close": close, "high": 1.012 * close, "low": 0.987 * close,
-        "dollar_volume": 1e6 + 5e4 * np.cos(i / 3) + 3e3 * i,
+        "symbol": "AAA", "date": pd.date_range(DAY, periods=n).date, "close": close, "high": close * (1 + reach[0]), "low": close * (1 - reach[1]),
+        "dollar_volume": rng.lognormal(13, 0.6, n),
     })
 
 
@@ -144,23 +145,24 @@ def test_asof_across_buckets_with_one_hot_key(spark):
 # ---- scoring --------------------------------------------------------------------------------------
 
 
-def block_loop(x):
+def block_from_spectrum(x):
+    """Block length from the circular spectrum of the padded series and symmetric flat-top weights."""
     n = len(x)
     if n < 11:
         return 1.0
     e = x - x.mean()
-    kn = max(5, int(math.log10(n)))
-    top = math.ceil(math.sqrt(n)) + kn
-    cut = 2 * math.sqrt(math.log10(n) / n)
-    cross = np.array([e[: n - k] @ e[k:] for k in range(top + 1)])
-    size = np.array([math.sqrt((e[k + 1:] ** 2).sum() * (e[: n - k - 1] ** 2).sum()) for k in range(top + 1)])
-    calm = np.abs(cross) / size < cut
-    first = next((k for k in range(top - kn + 1) if calm[k: k + kn].all()), None)
-    m = min(2 * max(first, 1), top) if first is not None else top
-    lam = np.array([1.0 if k / m <= 0.5 else 2 * (1 - k / m) for k in range(1, m + 1)])
-    acv = cross / n
-    g, lr = (2 * lam * np.arange(1, m + 1) * acv[1: m + 1]).sum(), acv[0] + (2 * lam * acv[1: m + 1]).sum()
-    return min(((g / lr) ** 2 * n) ** (1 / 3), math.ceil(min(3 * math.sqrt(n), n / 3)))
+    power = np.abs(np.fft.rfft(e, 2 * n)) ** 2
+    energy = np.concatenate([[0.0], np.cumsum(e**2)])
+    run = max(5, int(math.log10(n)))
+    lags = np.arange(math.ceil(math.sqrt(n)) + run + 1)
+    cov = np.fft.irfft(power)[lags]
+    corr = cov / np.sqrt((energy[n] - energy[lags + 1]) * energy[n - lags - 1])
+    flat = np.lib.stride_tricks.sliding_window_view(np.abs(corr) < 2 * math.sqrt(math.log10(n) / n), run).all(axis=1)
+    reach = min(2 * max(int(flat.argmax()), 1), lags[-1]) if flat.any() else lags[-1]
+    around = np.abs(np.arange(-reach, reach + 1))
+    weighted = np.clip(2 - 2 * around / reach, 0, 1) * cov[around]
+    best = np.cbrt(n * ((around @ weighted) / weighted.sum()) ** 2)
+    return min(best, math.ceil(min(3 * math.sqrt(n), n / 3)))
 
 
 def ar_series(n, rho, seed):
@@ -177,13 +179,14 @@ def test_block_length_in_chunks(spark, chunk):
     pdf = pd.concat([pd.DataFrame({"series_id": k, "idx": range(len(v)), "ret": v}) for k, v in data.items()])
     got = S.block_lengths(spark.createDataFrame(pdf), chunk_rows=chunk).toPandas().set_index("series_id")["block"]
     for k, v in data.items():
-        assert got[k] == pytest.approx(block_loop(v), rel=1e-9)
+        assert got[k] == pytest.approx(block_from_spectrum(v), rel=1e-8)
 
 
 def test_constant_series_has_no_score(spark):
     pdf = pd.DataFrame({"series_id": "c", "idx": range(50), "ret": 0.5})
     row = S.score_series(spark.createDataFrame(pdf)).first()
     assert row["status"] == "zero_variance" and row["psr0"] is None
+    assert S.block_lengths(spark.createDataFrame(pdf)).first()["block"] == 1.0
 
 
 def test_splits_and_paths(spark):
@@ -208,49 +211,41 @@ def test_splits_and_paths(spark):
 # ---- portfolios -----------------------------------------------------------------------------------
 
 
-def sim_loop(pdf, cash, sma, cost, expense):
-    """Day-by-day long-or-cash simulation of all assets at 1/N."""
-    assets = sorted(pdf["asset"].unique())
-    wide = pdf.pivot(index="date", columns="asset", values="ret")[assets]
-    month = pd.Series([(d.year, d.month) for d in wide.index], index=wide.index)
-    order = list(dict.fromkeys(month))
-    level = (1 + wide).cumprod()
-    ends = [level[month == m].iloc[-1] for m in order]
-    hold, cashv, total, weights, started, out, paid = None, 1.0, 1.0, np.zeros(len(assets)), False, [], 0.0
-    for day in wide.index:
-        m = order.index(month[day])
-        if m < sma:
-            continue
-        before = total
-        if not out or month[out[-1][0]] != month[day]:
-            mean = np.mean([e.to_numpy() for e in ends[m - sma: m]], axis=0)
-            target = np.where(ends[m - 1].to_numpy() > mean, 1 / len(assets), 0.0)
-            turnover = np.abs(target - weights).sum() if started else target.sum()
-            paid += total * turnover * cost
-            total *= 1 - turnover * cost
-            hold, cashv = total * target, total * (1 - target.sum())
-        grown = hold * (1 + wide.loc[day].to_numpy())
-        paid += (grown * expense).sum()
-        hold, cashv = grown * (1 - expense), cashv * (1 + cash)
-        total = hold.sum() + cashv
-        weights, started = hold / total, True
-        out.append((day, total / before - 1, total))
-    return pd.DataFrame(out, columns=["date", "net", "wealth"]), paid
-
-
-def test_month_segments_equal_daily_loop(spark):
-    rng = np.random.default_rng(3)
-    days = [DAY + dt.timedelta(days=i) for i in range(900)]
-    pdf = pd.concat([pd.DataFrame({"asset": a, "date": days, "ret": rng.normal(0.0003, 0.02, len(days))}) for a in ("x", "y", "z")])
-    want, paid = sim_loop(pdf, 8e-5, 4, 0.0005, 1e-5)
+def simulated(spark, pdf, cash_ret, rule, months, expense):
     assets = PF.complete_dates(spark.createDataFrame(pdf))
-    cash = spark.createDataFrame(pd.DataFrame({"date": days, "cash_ret": 8e-5}))
-    variants = [PF.variant("v", 4)]
-    targets = PF.targets(PF.month_signals(assets, [4]), variants)
-    got = PF.simulate(assets, cash, targets, 1e-5).orderBy("date").toPandas()
-    np.testing.assert_allclose(got["net_ret"], want["net"], atol=1e-13)
-    np.testing.assert_allclose(got["wealth"], want["wealth"], rtol=1e-12)
-    assert got["cost_paid"].sum() == pytest.approx(paid, rel=1e-10)
+    cash = spark.createDataFrame(pd.DataFrame({"date": sorted(pdf["date"].unique()), "cash_ret": cash_ret}))
+    return PF.simulate(assets, cash, PF.targets(PF.month_signals(assets, [months]), [rule]), expense).orderBy("date").toPandas()
+
+
+def test_simulation_by_hand(spark):
+    """Two months of history, then two held months: x is held at a half, y never."""
+    days = [dt.date(2021, 1, 5), dt.date(2021, 2, 5), dt.date(2021, 3, 5), dt.date(2021, 3, 8), dt.date(2021, 4, 5)]
+    pdf = pd.concat([
+        pd.DataFrame({"asset": "x", "date": days, "ret": [0.0, 0.10, 0.10, -0.05, 0.02]}),
+        pd.DataFrame({"asset": "y", "date": days, "ret": [0.0, -0.10, 0.0, 0.0, 0.0]}),
+    ])
+    fee, bill, cost = 0.001, 0.0002, 0.01
+    got = simulated(spark, pdf, bill, PF.variant("v", 2, cost=cost), 2, fee)
+    march = 1 - 0.5 * cost
+    x1, c1 = march * 0.5 * 1.10 * (1 - fee), march * 0.5 * (1 + bill)
+    x2, c2 = x1 * 0.95 * (1 - fee), c1 * (1 + bill)
+    trade = abs(0.5 - x2 / (x2 + c2)) * cost * (x2 + c2)
+    april = x2 + c2 - trade
+    x3, c3 = april * 0.5 * 1.02 * (1 - fee), april * 0.5 * (1 + bill)
+    np.testing.assert_allclose(got["wealth"], [x1 + c1, x2 + c2, x3 + c3], rtol=1e-13)
+    np.testing.assert_allclose(got["cost_paid"], [0.5 * cost + march * 0.55 * fee, x1 * 0.95 * fee, trade + april * 0.51 * fee], rtol=1e-10)
+
+
+def test_simulation_invariants(spark):
+    """Wealth compounds the net returns, and in a market that stands still only costs leave the portfolio."""
+    rng = np.random.default_rng(3)
+    days = [DAY + dt.timedelta(days=i) for i in range(400)]
+    moving = pd.concat([pd.DataFrame({"asset": a, "date": days, "ret": rng.normal(0.0003, 0.02, len(days))}) for a in "xyz"])
+    got = simulated(spark, moving, 8e-5, PF.variant("v", 4), 4, 1e-5)
+    np.testing.assert_allclose(got["wealth"], np.cumprod(1 + got["net_ret"]), rtol=1e-12)
+    assert (got["cost_paid"] >= 0).all() and got["cost_paid"].sum() > 0
+    still = simulated(spark, moving.assign(ret=0.0), 0.0, PF.variant("v", 4, always=True), 4, 1e-4)
+    assert still["wealth"].iloc[-1] == pytest.approx(1 - still["cost_paid"].sum(), rel=1e-12) and len(still) > 200
 
 
 def test_interval_series_conserve_net(spark):
@@ -284,15 +279,12 @@ def test_factor_regression_equals_dense(spark):
     pdf = pd.DataFrame(f, columns=list(RG.FACTORS)).assign(portfolio="p", rf=0.0001, date=[DAY + dt.timedelta(days=i) for i in range(n)])
     pdf["ret"] = y + pdf["rf"]
     x = np.column_stack([np.ones(n), f])
-    inv = np.linalg.inv(x.T @ x)
-    beta = inv @ x.T @ y
-    s = x * (y - x @ beta)[:, None]
-    lag = max(1, int(4 * (n / 100) ** (2 / 9)))
-    meat = s.T @ s
-    for k in range(1, lag + 1):
-        g = s[k:].T @ s[:-k]
-        meat = meat + (1 - k / (lag + 1)) * (g + g.T)
-    t = beta[0] / math.sqrt((inv @ meat @ inv)[0, 0])
+    solve, lag = np.linalg.pinv(x), max(1, int(4 * (n / 100) ** (2 / 9)))
+    beta = solve @ y
+    e = y - x @ beta
+    place = np.arange(n)
+    kernel = np.clip(1 - np.abs(place[:, None] - place) / (lag + 1), 0, None)
+    t = beta[0] / math.sqrt((solve @ (kernel * np.outer(e, e)) @ solve.T)[0, 0])
     row = RG.factor_regression(spark.createDataFrame(pdf)).first()
     assert row["alpha"] == pytest.approx(beta[0], rel=1e-8) and row["alpha_t"] == pytest.approx(t, rel=1e-7)
     assert row["dominant_tilt"] == "rmw" and row["lag"] == lag
