@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import HOURS_PER_YEAR
 from ..functions.windows import over, uniform, with_grid
@@ -73,12 +73,18 @@ def strided(priced: DataFrame, phase: int | None = None) -> DataFrame:
     return out if phase is None else out.filter(F.col("phase") == phase)
 
 
-def random_entries(priced: DataFrame, count: Column | int, seed: int, keys: Sequence[str] = ("symbol", "horizon")) -> DataFrame:
-    """A seeded random subset of entries without replacement: the `count` smallest hash draws per key."""
+def random_entries(priced: DataFrame, count: Column | int, seed: int, keys: Sequence[str] = ("symbol", "horizon"), strict: bool = True) -> DataFrame:
+    """A seeded random subset of entries without replacement: the `count` smallest hash draws per key.
+
+    A key with fewer entries than asked for raises, or gives all it has if not `strict`.
+    """
     draw = uniform(seed, *[F.col(k) for k in keys], F.col("entry_idx"))
     ranked = priced.withColumn("_draw", draw)
     order = over(keys, "_draw", "entry_idx")
     count = F.lit(count) if isinstance(count, int) else count
+    if strict:
+        short = F.count(F.lit(1)).over(Window.partitionBy(*keys)) < count
+        ranked = ranked.withColumn("_draw", F.when(short, F.raise_error(F.lit("fewer entries than asked for")).cast("double")).otherwise(F.col("_draw")))
     return ranked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count).drop("_draw", "_n")
 
 

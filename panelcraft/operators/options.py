@@ -78,11 +78,17 @@ def with_terminal(quotes: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def short_trades(quotes: DataFrame) -> DataFrame:
-    """Each tradeable quote sold, hedged once and held to `terminal` for `hold_hours`."""
+    """Each tradeable quote sold, hedged once and held to `terminal` for `hold_hours`.
+
+    A level or terminal that is missing or not positive, and a missing or negative holding time, raise.
+    """
+    sound = F.coalesce((F.col("underlying") > 0) & (F.col("terminal") > 0) & (F.col("hold_hours") >= 0), F.lit(False))
+    fault = F.raise_error(F.concat(F.lit("no trade from level, terminal and hold of "), F.col("instrument"))).cast("double")
+    quotes = quotes.withColumn("underlying", F.when(sound, F.col("underlying")).otherwise(fault))
     s0, st = F.col("underlying"), F.col("terminal")
     intrinsic = F.greatest(F.when(F.col("type") == "call", st - F.col("strike")).otherwise(F.col("strike") - st), F.lit(0.0))
     return (
-        sale_costs(quotes.filter("underlying > 0 AND terminal > 0 AND hold_hours >= 0"))
+        sale_costs(quotes)
         .withColumn("payoff", intrinsic / st)
         .withColumn("hedge_pnl", F.col("delta") * (1.0 - s0 / st))
         .withColumn("delivery_fee", costs.delivery_fee(F.col("payoff")))

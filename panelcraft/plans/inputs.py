@@ -239,7 +239,9 @@ FROM asset_ret""")
 
 
 def chain(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
-    """Option quotes: 150 instruments around one underlying level, some without a bid.
+    """Option quotes: one instrument per part, around one underlying level, some without a bid.
+
+    However many parts there are, a strike and expiry has one call and one put.
 
     Another table of events, such as a stream, can stand in for the stored one.
     """
@@ -249,11 +251,11 @@ def chain(spark: SparkSession, sf: str, events: DataFrame | None = None) -> Data
     half = F.floor(F.col("p_partkey") / 2)
     premium = 0.01 + F.col("value") / 1e5
     sign = F.when(F.col("p_partkey") % 2 == 0, 1.0).otherwise(-1.0)
-    joined = events.join(parts, F.col("user_id") % 200 == F.col("p_partkey"))
+    joined = events.join(parts, F.col("user_id") == F.col("p_partkey"))
     return joined.withColumn("underlying", level).select(
         F.concat(F.lit("I"), "p_partkey").alias("instrument"), "ts",
         F.when(F.col("p_partkey") % 2 == 0, "call").otherwise("put").alias("type"),
-        F.round(F.col("underlying") * (0.8 + 0.02 * (half % 21)), 0).alias("strike"),
+        (F.round(F.col("underlying") * (0.8 + 0.02 * (half % 21)), 0) + 0.01 * F.floor(half / 63)).alias("strike"),
         F.date_add(F.lit("2024-02-15").cast("date"), (30 * (F.floor(F.col("p_partkey") / 42) % 3)).cast("int")).alias("expiry"),
         "underlying", F.when(F.col("event_id") % 17 != 0, premium).alias("bid"), (premium * 1.02).alias("mark"),
         (sign * F.least(F.lit(0.95), (1.0 + F.col("p_size")) / 60.0)).alias("delta"),
@@ -263,13 +265,13 @@ def chain(spark: SparkSession, sf: str, events: DataFrame | None = None) -> Data
 
 cte("chain", """
 SELECT 'I' || p_partkey AS instrument, ts, CASE WHEN p_partkey % 2 = 0 THEN 'call' ELSE 'put' END AS type,
-       round(underlying * (0.8::DOUBLE + 0.02::DOUBLE * ((p_partkey // 2) % 21)), 0) AS strike,
+       round(underlying * (0.8::DOUBLE + 0.02::DOUBLE * ((p_partkey // 2) % 21)), 0) + 0.01::DOUBLE * (p_partkey // 126) AS strike,
        DATE '2024-02-15' + CAST(30 * ((p_partkey // 42) % 3) AS INTEGER) AS expiry, underlying,
        CASE WHEN event_id % 17 <> 0 THEN 0.01::DOUBLE + value / 1e5 END AS bid,
        (0.01::DOUBLE + value / 1e5) * 1.02::DOUBLE AS mark,
        CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END * least(0.95::DOUBLE, (1.0::DOUBLE + p_size) / 60.0::DOUBLE) AS delta,
        event_id AS ingest
-FROM events JOIN part ON user_id % 200 = p_partkey, (SELECT avg(p_retailprice) AS underlying FROM part)""")
+FROM events JOIN part ON user_id = p_partkey, (SELECT avg(p_retailprice) AS underlying FROM part)""")
 
 
 def index_level(spark: SparkSession, sf: str) -> DataFrame:

@@ -105,7 +105,8 @@ def top04(spark, sf):
 SELECT symbol, horizon, entry_idx FROM (SELECT *, row_number() OVER (PARTITION BY symbol, horizon ORDER BY u, entry_idx) AS rn FROM (
   SELECT symbol, horizon, entry_idx, cast(concat('0x', substr(md5(concat('11|', symbol, '|', horizon, '|', entry_idx)), 1, 8)) AS BIGINT) AS u FROM carry_gross)) WHERE rn <= 25""")
 def top04_random(spark, sf):
-    return C.random_entries(C.trades(obs(spark, sf), HORIZONS), 25, 11).select("symbol", "horizon", "entry_idx")
+    """Long horizons of short series have fewer than 25 entries; then all are taken."""
+    return C.random_entries(C.trades(obs(spark, sf), HORIZONS), 25, 11, strict=False).select("symbol", "horizon", "entry_idx")
 
 
 _GATE = ("median_funding", "median_financing", "round_trip_cost", "realized_cost", "headroom", "funding_annualized", "financing_annualized")
