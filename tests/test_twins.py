@@ -19,6 +19,7 @@ from panelcraft.operators import asof as A
 from panelcraft.operators import carry as C
 from panelcraft.operators import crossval as CV
 from panelcraft.operators import features as FT
+from panelcraft.operators import options as O
 from panelcraft.operators import panel as P
 from panelcraft.operators import portfolio as PF
 from panelcraft.operators import regression as RG
@@ -265,6 +266,21 @@ def test_interval_series_conserve_net(spark):
         assert len(both) == 8
 
 
+def test_bad_trades_and_short_lists_raise(spark):
+    def trade(underlying, hold):
+        quote = {"instrument": "I1", "type": "call", "strike": 100.0, "bid": 0.05, "mark": 0.051, "delta": 0.5, "underlying": underlying, "terminal": 110.0, "hold_hours": hold}
+        return O.short_trades(spark.createDataFrame([quote], "instrument string, type string, strike double, bid double, mark double, delta double, underlying double, terminal double, hold_hours double"))
+
+    assert trade(100.0, 24.0).first()["payoff"] == pytest.approx(10 / 110)
+    for underlying, hold in ((0.0, 24.0), (None, 24.0), (100.0, -1.0)):
+        with pytest.raises(Exception, match="no trade"):
+            trade(underlying, hold).collect()
+    entries = spark.createDataFrame([("S", 3, i) for i in range(4)], "symbol string, horizon int, entry_idx long")
+    assert C.random_entries(entries, 4, 1).count() == 4 and C.random_entries(entries, 25, 1, strict=False).count() == 4
+    with pytest.raises(Exception, match="fewer entries"):
+        C.random_entries(entries, 25, 1).collect()
+
+
 def test_par_bond_duration(spark):
     pdf = pd.DataFrame({"date": [DAY, DAY + dt.timedelta(days=1)], "bond_yield": [0.05, 0.05]})
     row = PF.bond_returns(spark.createDataFrame(pdf)).first()
