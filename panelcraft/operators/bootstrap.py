@@ -1,6 +1,6 @@
 """Stationary block bootstrap as joins: resampled paths and intervals of means and slopes.
 
-Every draw is a hash of (seed, series, path, position), so a retried or moved task repeats it exactly.
+Every draw is a hash of (seed, series, path, block), so a retried or moved task repeats it exactly.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.windows import running, uniform
+from ..functions.windows import running
 from .returns import KEY
 from .scoring import block_lengths, effective_size
 
@@ -19,29 +19,54 @@ def with_blocks(series: DataFrame, least: float = 2.0) -> DataFrame:
     return block_lengths(series).withColumn("block", F.greatest("block", F.lit(least)))
 
 
-def resample(series: DataFrame, n_paths: int, blocks: DataFrame, seed: int) -> DataFrame:
-    """`n_paths` resampled copies of each series: rows (series_id, path, pos, ret).
+def block_draws(series: DataFrame, n_paths: int, blocks: DataFrame, seed: int) -> DataFrame:
+    """The blocks of `n_paths` copies of each series: rows (series_id, path, n, begin, len, start).
 
-    At each position a new block starts with probability one over the block length, at a uniform place;
-    otherwise the copy steps on, wrapping around the end.
+    A block starts at a uniform place of the series and has a geometric length with the expected block length as
+    its mean; blocks follow one another until the copy is as long as the series, and the last is cut there.
+    A path draws its expected number of blocks and ten deviations more. Only blocks are rows, not positions.
     """
     sizes = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).join(blocks, "series_id")
-    cells = (
-        sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
-        .repartition("series_id", "path")
-        .withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    )
-    restart = (F.col("pos") == 0) | (uniform(seed, "r", F.col("series_id"), F.col("path"), F.col("pos")) < 1.0 / F.col("block"))
-    start = F.floor(uniform(seed, "s", F.col("series_id"), F.col("path"), F.col("pos")) * F.col("n"))
-    jumps = cells.withColumn("_jump", F.when(restart, start - F.col("pos")))
-    shift = F.last("_jump", ignorenulls=True).over(running(["series_id", "path"], "pos"))
-    drawn = jumps.withColumn("idx", F.pmod(F.col("pos") + shift, F.col("n"))).select("series_id", "path", "pos", "idx")
-    return drawn.join(series.select("series_id", "idx", "ret"), ["series_id", "idx"]).select("series_id", "path", "pos", "ret")
+    need = F.col("n") / F.col("block")
+    # few bytes here, many rows below: a stated number of partitions keeps adaptive execution from joining them
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))).repartition(tasks, "series_id", "path")
+    cells = cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(need + 10.0 * F.sqrt(need)) + 20)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "series_id", "path", "k"))
+    # half a step off zero, so that no draw lies on the edge between two lengths
+    place, gap = ((F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0 for at in (1, 9))
+    length = F.when(F.col("block") > 1, 1 + F.floor(F.ln(gap) / F.ln(1.0 - 1.0 / F.col("block")))).otherwise(F.lit(1).cast("bigint"))
+    drawn = cells.select("series_id", "path", "n", "k", length.alias("len"), F.floor(place * F.col("n")).alias("start"))
+    placed = drawn.withColumn("begin", F.sum("len").over(running(["series_id", "path"], "k")) - F.col("len")).filter("begin < n")
+    return placed.select("series_id", "path", "n", "begin", F.least(F.col("len"), F.col("n") - F.col("begin")).alias("len"), "start")
+
+
+def resample(series: DataFrame, n_paths: int, blocks: DataFrame, seed: int) -> DataFrame:
+    """`n_paths` resampled copies of each series, row by row: (series_id, path, pos, ret)."""
+    drawn = block_draws(series, n_paths, blocks, seed).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)))
+    cells = drawn.select(
+        "series_id", "path", (F.col("begin") + F.col("_i")).alias("pos"), ((F.col("start") + F.col("_i")) % F.col("n")).alias("idx"))
+    return cells.join(series.select("series_id", "idx", "ret"), ["series_id", "idx"]).select("series_id", "path", "pos", "ret")
 
 
 def path_means(series: DataFrame, n_paths: int, blocks: DataFrame, seed: int) -> DataFrame:
-    paths = resample(series, n_paths, blocks, seed)
-    return paths.groupBy("series_id", "path").agg(F.avg("ret").alias("value"))
+    """Mean of every resampled copy, from differences of one running sum: no copy is ever laid out.
+
+    A block that runs past the end goes on at the start; it may go round several times.
+    """
+    upto = series.withColumn("upto", F.sum("ret").over(running(["series_id"], "idx"))).select("series_id", "idx", "upto")
+    whole = series.groupBy("series_id").agg(F.sum("ret").alias("whole"))
+    drawn = block_draws(series, n_paths, blocks, seed).withColumn("stop", F.col("start") + F.col("len"))
+    # the block's sum is upto(stop - 1) - upto(start - 1), plus the whole for each turn
+    edges = drawn.select("series_id", "path", "n", F.explode(F.array(
+        F.struct(F.lit(-1).alias("sign"), (F.col("start") - 1).alias("idx"), F.lit(0).cast("bigint").alias("turns")),
+        F.struct(F.lit(1).alias("sign"), ((F.col("stop") - 1) % F.col("n")).alias("idx"), F.floor((F.col("stop") - 1) / F.col("n")).alias("turns")),
+    )).alias("e"))
+    edges = edges.select("series_id", "path", "n", "e.*").groupBy("series_id", "path", "n", "idx").agg(
+        F.sum("sign").alias("times"), F.sum("turns").alias("turns"))
+    value = F.col("times") * F.coalesce("upto", F.lit(0.0)) + F.col("turns") * F.col("whole")
+    return edges.join(upto, ["series_id", "idx"], "left").join(whole, "series_id").groupBy("series_id", "path").agg(
+        (F.sum(value) / F.first("n")).alias("value"))
 
 
 def interval(values: DataFrame, alpha: float = 0.05, keys: Sequence[str] = KEY) -> DataFrame:

@@ -190,7 +190,7 @@ def tilt_panel(spark: SparkSession, sf: str) -> DataFrame:
         "date", (F.col("equity_ret") - F.col("cash_ret")).alias("mkt_rf"), F.col("cash_ret").alias("rf")
     )
     base = wide.join(market, "date").dropna()
-    noise = asset_ret(spark, sf).filter(F.col("asset").isin("STANDARD", "SMALL", "PROMO"))
+    noise = asset_ret(spark, sf)
     ret = F.col("rf") + F.col("mkt_rf") + 0.3 * F.col("rmw") + 0.05 * F.col("ret")
     return noise.join(base, "date").select(
         F.lower("asset").alias("portfolio"), "date", ret.alias("ret"), "mkt_rf", "smb", "hml", "rmw", "cma", "rf"
@@ -206,7 +206,7 @@ JOIN (SELECT date, equity_ret - cash_ret AS mkt_rf, cash_ret AS rf FROM macro_pa
 WHERE smb IS NOT NULL AND hml IS NOT NULL AND rmw IS NOT NULL AND cma IS NOT NULL""")
 cte("tilt_panel", """
 SELECT lower(asset) AS portfolio, date, rf + mkt_rf + 0.3 * rmw + 0.05 * ret AS ret, mkt_rf, smb, hml, rmw, cma, rf
-FROM asset_ret JOIN tilt_base USING (date) WHERE asset IN ('STANDARD', 'SMALL', 'PROMO')""")
+FROM asset_ret JOIN tilt_base USING (date)""")
 
 
 def numbered(df: DataFrame, key: str, ret: str = "ret", dt: str = "date") -> DataFrame:

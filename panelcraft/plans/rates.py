@@ -13,12 +13,11 @@ from ..operators import panel as P
 from ..operators.returns import linear_trend
 from .inputs import funding, quotes, round_to, settled, table
 from .registry import cte, query
-from .scores import boot_ctes
+from .scores import PATHS, boot_ctes
 from .sqltext import score_ctes
 from .stage import stage
 
 GAP_DAYS = 10
-PATHS = 50
 SEED = 20260607
 
 cte("order_bars", """

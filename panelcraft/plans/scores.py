@@ -258,38 +258,42 @@ def scr21(spark, sf):
 # ---- bootstrap ------------------------------------------------------------------------------------
 
 def boot_ctes(p: str, source: str, paths: int, seed: int, least: float = 2.0) -> None:
-    """Declare `<p>_cell`: resampled rows (series_id, path, pos, ret) of a scored source."""
-    def u(kind: str) -> str:
-        key = f"concat('{seed}|{kind}|', series_id, '|', path, '|', pos)"
-        return f"(cast(concat('0x', substr(md5({key}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
-
+    """Declare `<p>_block`, `<p>_cell` and `<p>_mean`: blocks, resampled rows and path means of a scored source."""
+    def u(at: int) -> str:
+        return f"((cast(concat('0x', substr(digest, {at}, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+    cte(f"{p}_block", f"""
+SELECT series_id, path, n, start, fill - len AS lo, least(fill, n) - (fill - len) AS len FROM (
+  SELECT *, sum(len) OVER (PARTITION BY series_id, path ORDER BY k)::BIGINT AS fill FROM (
+    SELECT series_id, path, n, k, floor({u(1)} * n)::BIGINT AS start, 1 + floor(ln({u(9)}) / ln(1.0::DOUBLE - 1.0::DOUBLE / block))::BIGINT AS len FROM (
+      SELECT *, md5(concat('{seed}|', series_id, '|', path, '|', k)) AS digest FROM (
+        SELECT *, unnest(range(0, ceil(n / block + 10 * sqrt(n / block))::BIGINT + 21)) AS k FROM (
+          SELECT b.series_id, n, greatest(block, {least}) AS block, unnest(range(0, {paths})) AS path
+          FROM {source}_block b JOIN {source}_stats t ON b.series_id = t.series_id))))) WHERE fill - len < n""")
     cte(f"{p}_cell", f"""
-SELECT c.series_id, path, pos, s.ret FROM (
-  SELECT *, (pos + last_value(jump IGNORE NULLS) OVER (PARTITION BY series_id, path ORDER BY pos) + 1000 * n) % n AS idx FROM (
-    SELECT *, CASE WHEN pos = 0 OR {u('r')} < 1.0 / block THEN floor({u('s')} * n)::BIGINT - pos END AS jump FROM (
-      SELECT *, unnest(range(0, n)) AS pos FROM (
-        SELECT b.series_id, n, greatest(block, {least}) AS block, unnest(range(0, {paths})) AS path
-        FROM {source}_block b JOIN {source}_stats t ON b.series_id = t.series_id)))) c
+SELECT c.series_id, path, pos, s.ret FROM (SELECT series_id, path, lo + i AS pos, (start + i) % n AS idx
+  FROM (SELECT *, unnest(range(0, len)) AS i FROM {p}_block)) c
 JOIN {p}_source s ON s.series_id = c.series_id AND s.idx = c.idx""")
     cte(f"{p}_mean", f"SELECT series_id, path, avg(ret) AS value FROM {p}_cell GROUP BY 1, 2")
 
 
+PATHS = 2000
 cte("boot_source", "SELECT * FROM asset_series")
-boot_ctes("boot", "asset", 20, 7)
+boot_ctes("boot", "asset", PATHS, 7)
 
 
 @query("scr07_bootstrap_paths", "SELECT series_id, path, round(value, 9) AS value FROM boot_mean")
 def scr07(spark, sf):
     series = stage(asset_series(spark, sf), "series")
-    return round_to(B.path_means(series, 20, B.with_blocks(series), 7), 9, "value")
+    return round_to(B.path_means(series, PATHS, B.with_blocks(series), 7), 9, "value")
 
 
-@query("scr08_mean_interval_by_rank", """
-SELECT series_id, round(list_sort(list(value))[1 + floor(0.025 * 20)::INTEGER], 9) AS ci_low,
-       round(list_sort(list(value))[1 + floor(0.975 * 20)::INTEGER], 9) AS ci_high FROM boot_mean GROUP BY 1""")
+@query("scr08_mean_interval_by_rank", f"""
+SELECT series_id, round(list_sort(list(value))[1 + floor(0.025 * {PATHS})::INTEGER], 9) AS ci_low,
+       round(list_sort(list(value))[1 + floor(0.975 * {PATHS})::INTEGER], 9) AS ci_high FROM boot_mean GROUP BY 1""")
 def scr08_rank(spark, sf):
     series = stage(asset_series(spark, sf), "series")
-    means = B.path_means(series, 20, B.with_blocks(series), 7)
+    means = B.path_means(series, PATHS, B.with_blocks(series), 7)
     return round_to(B.interval_by_rank(means), 9, "ci_low", "ci_high")
 
 

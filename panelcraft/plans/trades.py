@@ -223,13 +223,13 @@ def str01_checks(spark, sf):
 
 
 cte("expiry_price", """
-SELECT date + 9132 AS date, 950.0 * power(close / (SELECT avg(close) FROM bars_strict WHERE symbol = 'A'), 3) AS close FROM bars_strict WHERE symbol = 'A'""")
+SELECT date + 9132 AS date, 950.0 * power(close / (SELECT avg(close) FROM bars_strict), 3) AS close FROM (SELECT date, avg(close) AS close FROM bars_strict GROUP BY 1)""")
 
 
 def expiry_price(spark, sf):
-    """Settlement prices: the daily closes of one symbol moved to the chain's years and level."""
-    closes = bars_strict(spark, sf).filter("symbol = 'A'")
-    mean = closes.agg(F.avg("close")).scalar()
+    """Settlement prices: the daily mean close of all symbols, moved to the chain's years and level."""
+    bars = bars_strict(spark, sf)
+    closes, mean = bars.groupBy("date").agg(F.avg("close").alias("close")), bars.agg(F.avg("close")).scalar()
     return closes.select(F.date_add("date", 9132).alias("date"), (950.0 * F.pow(F.col("close") / mean, F.lit(3.0))).alias("close"))
 
 
