@@ -183,16 +183,24 @@ FROM (SELECT asset, date, ret - avg(ret) OVER (PARTITION BY date) AS ret FROM as
 WHERE asset IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL')""")
 
 
-def tilt_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Long portfolio panel with market and factor columns; each portfolio loads 0.3 on `rmw`."""
+def tilt_base(spark: SparkSession, sf: str) -> DataFrame:
+    """Market and factor columns by date, on the days that have all of them."""
     wide = factors(spark, sf).groupBy("date").pivot("factor", ["smb", "hml", "rmw", "cma"]).agg(F.first("ret"))
     market = macro_panel(spark, sf).select(
         "date", (F.col("equity_ret") - F.col("cash_ret")).alias("mkt_rf"), F.col("cash_ret").alias("rf")
     )
-    base = wide.join(market, "date").dropna()
-    noise = asset_ret(spark, sf)
+    return wide.join(market, "date").dropna()
+
+
+def tilt_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Long portfolio panel with market and factor columns, one portfolio per asset.
+
+    Each loads 0.3 on `rmw`, and has its asset's return of the day before as noise: that of the same day would
+    be a combination of the factors, which are made of the assets, and leave nothing to estimate an error from.
+    """
+    noise = asset_ret(spark, sf).withColumn("ret", F.lag("ret").over(over(["asset"], "date"))).filter("ret IS NOT NULL")
     ret = F.col("rf") + F.col("mkt_rf") + 0.3 * F.col("rmw") + 0.05 * F.col("ret")
-    return noise.join(base, "date").select(
+    return noise.join(tilt_base(spark, sf), "date").select(
         F.lower("asset").alias("portfolio"), "date", ret.alias("ret"), "mkt_rf", "smb", "hml", "rmw", "cma", "rf"
     )
 
@@ -206,7 +214,7 @@ JOIN (SELECT date, equity_ret - cash_ret AS mkt_rf, cash_ret AS rf FROM macro_pa
 WHERE smb IS NOT NULL AND hml IS NOT NULL AND rmw IS NOT NULL AND cma IS NOT NULL""")
 cte("tilt_panel", """
 SELECT lower(asset) AS portfolio, date, rf + mkt_rf + 0.3 * rmw + 0.05 * ret AS ret, mkt_rf, smb, hml, rmw, cma, rf
-FROM asset_ret JOIN tilt_base USING (date)""")
+FROM (SELECT asset, date, lag(ret) OVER (PARTITION BY asset ORDER BY date) AS ret FROM asset_ret) JOIN tilt_base USING (date) WHERE ret IS NOT NULL""")
 
 
 def numbered(df: DataFrame, key: str, ret: str = "ret", dt: str = "date") -> DataFrame:

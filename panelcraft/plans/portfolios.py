@@ -13,7 +13,7 @@ from ..operators import returns as R
 from ..operators import scoring as S
 from ..operators import volmanaged as VM
 from ..operators import weekly_trend as WT
-from .inputs import asset_ret, bars_strict, factors, macro_panel, round_to, tilt_panel
+from .inputs import asset_ret, bars_strict, factors, macro_panel, rate_curve, round_to, tilt_base, tilt_panel
 from .registry import cte, query
 from .sqltext import max_sharpe, psr_of, score_ctes
 from .stage import stage
@@ -431,16 +431,57 @@ def sig11_gram(spark, sf):
     return g.select("portfolio", F.posexplode("sums").alias("pos", "value")).select("portfolio", F.col("pos").cast("bigint").alias("pos"), F.round("value", 8).alias("value"))
 
 
-@query("sig11_factor_regression")
+def sweep(step: int) -> str:
+    """One elimination step on the upper triangle of the product sums, in place: pivot `step`."""
+    def at(i: int, j: int) -> str:
+        return f"a{min(i, j)}{max(i, j)}"
+
+    d, out = at(step, step), []
+    for i in range(7):
+        for j in range(i, 7):
+            if step not in (i, j):
+                new = f"{at(i, j)} - {at(i, step)} * {at(step, j)} / {d}"
+            else:
+                new = f"-1.0::DOUBLE / {d}" if i == j else f"{at(i, j)} / {d}"
+            out.append(f"{new} AS {at(i, j)}")
+    return f"SELECT portfolio, {', '.join(out)} FROM solve{step}"
+
+
+cte("solve0", "SELECT portfolio, " + ", ".join(f"sum({_X[i]} * {_X[j]}) AS a{i}{j}" for i in range(7) for j in range(i, 7)) + " FROM tilt_panel GROUP BY 1")
+for _step in range(6):
+    cte(f"solve{_step + 1}", sweep(_step))
+# a06 to a56 are now the coefficients, and a00 to a05 the first row of the negative inverse
+cte("tilt_score", f"""
+SELECT p.portfolio, row_number() OVER (PARTITION BY p.portfolio ORDER BY date) AS t, count(*) OVER (PARTITION BY p.portfolio) AS n,
+       -({" + ".join(f"a0{i} * {x}" for i, x in enumerate(_X[:6]))}) * ({_X[6]} - ({" + ".join(f"a{i}6 * {x}" for i, x in enumerate(_X[:6]))})) AS u
+FROM tilt_panel p JOIN solve6 s ON p.portfolio = s.portfolio""")
+cte("tilt_lag", "SELECT *, greatest(1, floor(4 * power(n / 100.0, 2.0::DOUBLE / 9)))::BIGINT AS lag FROM tilt_score")
+cte("tilt_var", """
+SELECT portfolio, n, lag, sum(CASE WHEN l = 0 THEN 1.0 ELSE 2 * (1.0 - l / (lag + 1.0)) END * uu) AS v FROM (
+  SELECT a.portfolio, a.n, a.lag, a.l, sum(a.u * b.u) AS uu FROM (SELECT *, unnest(range(0, lag + 1)) AS l FROM tilt_lag) a
+  JOIN tilt_lag b ON a.portfolio = b.portfolio AND b.t = a.t - a.l GROUP BY ALL) GROUP BY 1, 2, 3""")
+cte("tilt_fit", """
+SELECT portfolio, n, lag, a06 AS alpha, CASE WHEN v > 0 THEN a06 / sqrt(v) ELSE 0 END AS alpha_t, a16 AS mkt_rf, a26 AS smb, a36 AS hml, a46 AS rmw, a56 AS cma
+FROM solve6 JOIN tilt_var USING (portfolio)""")
+
+
+@query("sig11_factor_regression", """
+SELECT portfolio, n, lag, round(alpha, 9) AS alpha, round(alpha * 252, 7) AS alpha_ann, round(alpha_t, 5) AS alpha_t, round(mkt_rf, 7) AS beta_mkt_rf,
+       round(smb, 7) AS beta_smb, round(hml, 7) AS beta_hml, round(rmw, 7) AS beta_rmw, round(cma, 7) AS beta_cma,
+       CASE WHEN best > 0 THEN CASE best WHEN smb THEN 'smb' WHEN hml THEN 'hml' WHEN rmw THEN 'rmw' ELSE 'cma' END END AS dominant_tilt
+FROM (SELECT *, greatest(smb, hml, rmw, cma) AS best FROM tilt_fit)""")
 def sig11(spark, sf):
-    """Checked against a dense solution in the tests: SQL has no matrix inverse."""
-    return RG.factor_regression(stage(tilt_panel(spark, sf), "tilt"))
+    out = RG.factor_regression(stage(tilt_panel(spark, sf), "tilt"))
+    betas = [f"beta_{f}" for f in RG.FACTORS]
+    return round_to(round_to(round_to(out, 9, "alpha"), 7, "alpha_ann", *betas), 5, "alpha_t")
 
 
-@query("scr29_factor_decomposition")
+@query("scr29_factor_decomposition", """
+SELECT portfolio, round(d * 252, 7) AS raw_difference, round(alpha * 252, 7) AS alpha_ann, round(f.rmw * m.rmw * 252, 7) AS factor_part
+FROM tilt_fit f JOIN (SELECT portfolio, avg(ret - (mkt_rf + rf)) AS d, avg(rmw) AS rmw FROM tilt_panel GROUP BY 1) m USING (portfolio)""")
 def scr29_factor(spark, sf):
     panel = stage(tilt_panel(spark, sf), "tilt")
-    return RG.return_decomposition(panel, RG.factor_regression(panel))
+    return round_to(RG.return_decomposition(panel, RG.factor_regression(panel)), 7, "raw_difference", "alpha_ann", "factor_part")
 
 
 # ---- weekly volatility-capped trend ---------------------------------------------------------------
@@ -592,9 +633,7 @@ def scr26(spark, sf):
 SELECT b.date, round(mkt_rf, 9) AS mkt_rf, round(rmw, 9) AS rmw, round(wml, 9) AS wml, round(bond_yield, 9) AS bond_yield FROM tilt_base b
 JOIN (SELECT date, ret AS wml FROM factors WHERE factor = 'wml') m USING (date) JOIN rate_curve USING (date)""")
 def jn07(spark, sf):
-    from .inputs import rate_curve
-
-    tilt = tilt_panel(spark, sf).filter("portfolio = 'small'").select("date", "mkt_rf", "rmw")
+    tilt = tilt_base(spark, sf).select("date", "mkt_rf", "rmw")
     momentum = factors(spark, sf).filter("factor = 'wml'").select("date", F.col("ret").alias("wml"))
     return round_to(tilt.join(momentum, "date").join(rate_curve(spark, sf), "date"), 9, "mkt_rf", "rmw", "wml", "bond_yield")
 

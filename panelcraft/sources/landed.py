@@ -194,10 +194,15 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def audit_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def file_name(depth: int = 1) -> Column:
+    """The last `depth` parts of `path`; more than one where files in several folders share a name."""
+    return F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/")
+
+
+def audit_files(spark: SparkSession, path: str, manifest: DataFrame, depth: int = 1) -> DataFrame:
     """Every file of a manifest (file_name, sha256, size_bytes) against what has landed."""
     landed = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("found_sha256"), F.col("length").alias("found_size")
+        file_name(depth).alias("file_name"), F.sha2("content", 256).alias("found_sha256"), F.col("length").alias("found_size")
     )
     status = (
         F.when(F.col("found_sha256").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,27 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.trigger(availableNow=True).start().awaitTermination()
 
 
+def run_to_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available and stop; each micro-batch leaves the rows it changed in a folder of its own.
+
+    Windows that are still open are there too. A batch that runs again after a failure replaces its folder.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+def current_rows(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last version of each key in what `run_to_updates` has left; `batch` is the folder's number."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r"))
+    return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def freshest_quotes(quotes: DataFrame, window: str = "1 hour", lateness: str = "30 seconds") -> DataFrame:
-    """Last quote of every instrument in each time window; a window is emitted once no late row can change it."""
+    """Last quote of every instrument in each time window; rows later than `lateness` are dropped."""
     rest = [c for c in quotes.columns if c not in ("ts", "instrument")]
     agg = quotes.withWatermark("ts", lateness).groupBy(F.window("ts", window).alias("w"), "instrument").agg(
         F.max_by(F.struct("ts", *rest), F.struct("ts", "ingest")).alias("_q")
@@ -25,11 +44,18 @@ def freshest_quotes(quotes: DataFrame, window: str = "1 hour", lateness: str = "
     return agg.select("instrument", F.col("w.end").alias("window_end"), "_q.ts", *[F.col(f"_q.{c}").alias(c) for c in rest])
 
 
-def latest_closed(windows: DataFrame, as_of: str) -> DataFrame:
-    """From emitted windows, each instrument's freshest quote of a window closed by the instant."""
-    closed = windows.filter(F.col("window_end") <= F.lit(as_of).cast("timestamp"))
-    rest = [c for c in windows.columns if c != "instrument"]
-    picked = closed.groupBy("instrument").agg(F.max_by(F.struct(*rest), F.col("window_end")).alias("_q"))
+def latest_as_of(windows: DataFrame, quotes: DataFrame, as_of: str, window: str = "1 hour") -> DataFrame:
+    """Each instrument's freshest quote at an instant: of the windows closed by then, or of the open one.
+
+    A window only knows its last quote, which may come after the instant, so the window around the instant is read
+    from the quotes themselves: one window's worth of rows, however long the history is.
+    """
+    instant = F.lit(as_of).cast("timestamp")
+    rest = [c for c in quotes.columns if c != "instrument"]
+    closed = windows.filter(F.col("window_end") <= instant).select("instrument", *rest)
+    recent = quotes.filter((F.col("ts") <= instant) & (F.col("ts") > instant - F.expr(f"INTERVAL {window}")))
+    inside = recent.filter(F.window("ts", window)["end"] > instant).select("instrument", *rest)
+    picked = closed.unionByName(inside).groupBy("instrument").agg(F.max_by(F.struct(*rest), F.struct("ts", "ingest")).alias("_q"))
     return picked.select("instrument", *[F.col(f"_q.{c}").alias(c) for c in rest])
 
 
