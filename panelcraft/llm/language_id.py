@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .registry import query, table
 from .words import mix, small
@@ -162,21 +163,23 @@ def fold(doc_id: Column, folds: int) -> Column:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can be told go on, with ``lang`` as predicted where it was null.
 
-    Only texts without a letter are rejected: nothing in them can be read in any language.
+    Only texts without a letter are rejected: nothing in them can be read in any language. Further columns stay,
+    whatever their names.
     """
     model = fit(docs.where(fold(F.col("doc_id"), 4) != 2))
     shipped = spark.sparkContext.broadcast(model)
-    schema = "_lang string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct("*").alias("row"))
+    schema = T.StructType([T.StructField("lang", T.StringType()), *rows.schema.fields])
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            one = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
+            row = batch.column(0)
+            one = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), row.field("text")], names=["doc_id", "text"])
             for told in _predict(iter([one]), shipped):
-                yield pa.RecordBatch.from_arrays([told.column(1), *batch.columns], names=["_lang", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([told.column(1), row], names=["lang", "row"])
 
-    told = docs.mapInArrow(tag, schema).where("_lang <> 'und'")
-    return told.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    told = rows.mapInArrow(tag, schema).where("lang <> 'und'")
+    return told.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang")).alias("row")).select("row.*")
 
 
 @query("op4_language_id")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import query, table
+from .registry import columns, query, table
 
 #: Category of every value without a target of its own, null included.
 OTHER = "other"
@@ -138,7 +138,7 @@ def mix_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: s
 def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the calibrated draw keeps, columns unchanged."""
     kept = decide(docs, production_mix()).where("kept")
-    return kept.select("row.*").select(*docs.columns)
+    return kept.select("row.*").select(*columns(docs))
 
 
 @query("op9_mix_to_targets")

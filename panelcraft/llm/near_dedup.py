@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .registry import query, table
+from .registry import columns, query, table
 from .scratch import Scratch
 from .words import WordHashes, binary, lists, mix, shingle_set, small
 
@@ -270,7 +270,7 @@ def _repeats(sketch: DataFrame) -> bool:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group, columns unchanged."""
     gone = near_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
 
 
 @query("op2_minhash_near_dedup")

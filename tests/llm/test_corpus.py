@@ -279,5 +279,9 @@ def test_pipeline_stages(spark, docs, none):
     assert mixed.columns == plain.columns and mixed.count() <= near.count()
     ids = corpus_pipeline.STAGES[4][1](spark, mixed, "")
     assert ids.count() == mixed.count() and ids.where("n_tokens <> size(ids)").count() == 0
+    odd = plain.select("*", *(F.lit("x").alias(c) for c in ("told", "TOLD_", "row", "p", "u", "tokens", "kept", "hash", "_lang", "a.b")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:  # further columns stay, whatever their names
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns and out.where("told <> 'x' OR tokens <> 'x' OR hash <> 'x'").count() == 0 and out.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.select(*plain.columns), "").count() == 0
