@@ -119,11 +119,11 @@ FROM (SELECT *, 100.0 + 10.0 * sin(idx / 7.0) AS spot_close FROM (
 
 def quotes(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return table(spark, sf, "events").filter(F.col("event_type") == kind).select(
-        (F.col("user_id") % 20).alias("key"), "ts", F.col("value").alias("close"), F.col("event_id").alias("ingest")
+        F.col("user_id").alias("key"), "ts", F.col("value").alias("close"), F.col("event_id").alias("ingest")
     )
 
 
-cte("quotes", "SELECT user_id % 20 AS key, ts, value AS close, event_id AS ingest, event_type AS kind FROM events")
+cte("quotes", "SELECT user_id AS key, ts, value AS close, event_id AS ingest, event_type AS kind FROM events")
 
 
 def asset_ret(spark: SparkSession, sf: str) -> DataFrame:

@@ -51,8 +51,8 @@ FROM (SELECT l.key, l.ts, l.ingest, CASE WHEN l.ts - m.ts <= INTERVAL 8 HOUR THE
       FROM asof_left l ASOF LEFT JOIN asof_mark m ON l.key = m.key AND l.ts >= m.ts
       ASOF LEFT JOIN asof_spot s ON l.key = s.key AND l.ts >= s.ts)""")
 def jn01(spark, sf):
-    left = quotes(spark, sf, "purchase").drop("close")
-    marks, spots = (quotes(spark, sf, k).drop("ingest") for k in ("view", "click"))
+    left, marks, spots = (stage(quotes(spark, sf, k), k) for k in ("purchase", "view", "click"))
+    left, marks, spots = left.drop("close"), marks.drop("ingest"), spots.drop("ingest")
     out = A.observations(left, marks, spots, ["key"], tolerance_hours=8)
     return round_to(round_to(out, 6, "perp_close", "spot_close"), 8, "basis")
 

@@ -386,3 +386,35 @@ def test_rules_catch_missing_values(spark):
     chain = spark.createDataFrame([(None, "call", 1.0, 1.0), ("BTC-1", None, 1.0, 1.0), ("BTC-1", "put", 1.0, 1.0)],
                                   "instrument string, type string, strike double, underlying double")
     assert sorted(r["rule"] for r in validate.option_violations(chain, "BTC").collect()) == ["foreign_symbol", "unknown_type"]
+
+
+def test_block_bootstrap(spark):
+    from panelcraft.operators import bootstrap as B
+
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=40), "b": rng.normal(size=7), "c": rng.normal(size=1)}
+    series = spark.createDataFrame([(k, i, float(x)) for k, v in values.items() for i, x in enumerate(v)], "series_id string, idx long, ret double")
+    for expected in (1.0, 2.0, 9.0, 100.0):  # from single rows to blocks that go round the series several times
+        blocks = spark.createDataFrame([(k, expected) for k in values], "series_id string, block double")
+        cells = B.resample(series, 30, blocks, 3).toPandas()
+        assert (cells.groupby(["series_id", "path"])["pos"].agg(["min", "max", "nunique"]).reset_index()
+                .apply(lambda r: (r["min"], r["max"] + 1, r["nunique"]) == (0, len(values[r["series_id"]]), len(values[r["series_id"]])), axis=1)).all()
+        want = cells.groupby(["series_id", "path"])["ret"].mean()
+        got = B.path_means(series, 30, blocks, 3).toPandas().set_index(["series_id", "path"])["value"]
+        np.testing.assert_allclose(got.sort_index().to_numpy(), want.sort_index().to_numpy(), atol=1e-12)
+    lengths = B.block_draws(spark.range(20_000).selectExpr("'z' AS series_id", "id AS idx", "0D AS ret"), 20,
+                            spark.createDataFrame([("z", 8.0)], "series_id string, block double"), 5)
+    assert abs(lengths.agg(F.avg("len")).first()[0] - 8.0) < 0.15
+
+
+def test_stream_keeps_open_windows(spark, tmp_path):
+    rows = [("a", "2024-01-01 10:05:00", 1), ("a", "2024-01-01 10:40:00", 2), ("a", "2024-01-01 10:50:00", 3), ("b", "2024-01-01 10:10:00", 4)]
+    for i, (name, at, ingest) in enumerate(rows):
+        spark.createDataFrame([(name, at, ingest)], "instrument string, ts string, ingest long").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    quotes = spark.read.parquet(f"{tmp_path}/in/*")
+    stream = spark.readStream.schema(quotes.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    J.run_to_updates(J.freshest_quotes(stream), f"{tmp_path}/out", f"{tmp_path}/log")
+    windows = J.current_rows(spark.read.parquet(f"{tmp_path}/out"), ["instrument", "window_end"])
+    assert {r["instrument"]: r["ingest"] for r in windows.collect()} == {"a": 3, "b": 4}
+    for at, want in (("2024-01-01 10:45:00", {"a": 2, "b": 4}), ("2024-01-01 11:00:00", {"a": 3, "b": 4}), ("2024-01-01 10:07:00", {"a": 1})):
+        assert {r["instrument"]: r["ingest"] for r in J.latest_as_of(windows, quotes, at).collect()} == want
