@@ -24,18 +24,20 @@ def block_draws(series: DataFrame, n_paths: int, blocks: DataFrame, seed: int) -
 
     A block starts at a uniform place of the series and has a geometric length with the expected block length as
     its mean; blocks follow one another until the copy is as long as the series, and the last is cut there.
-    A path draws its expected number of blocks and ten deviations more. Only blocks are rows, not positions.
+    A path draws its expected number of blocks and ten deviations more, and the last one drawn runs to the end
+    whatever its length. Only blocks are rows, not positions.
     """
     sizes = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).join(blocks, "series_id")
     need = F.col("n") / F.col("block")
     # few bytes here, many rows below: a stated number of partitions keeps adaptive execution from joining them
     tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))).repartition(tasks, "series_id", "path")
-    cells = cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(need + 10.0 * F.sqrt(need)) + 20)))
+    cells = cells.withColumn("top", F.ceil(need + 10.0 * F.sqrt(need)) + 20).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "series_id", "path", "k"))
     # half a step off zero, so that no draw lies on the edge between two lengths
     place, gap = ((F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0 for at in (1, 9))
     length = F.when(F.col("block") > 1, 1 + F.floor(F.ln(gap) / F.ln(1.0 - 1.0 / F.col("block")))).otherwise(F.lit(1).cast("bigint"))
+    length = F.when(F.col("k") == F.col("top"), F.col("n")).otherwise(length)
     drawn = cells.select("series_id", "path", "n", "k", length.alias("len"), F.floor(place * F.col("n")).alias("start"))
     placed = drawn.withColumn("begin", F.sum("len").over(running(["series_id", "path"], "k")) - F.col("len")).filter("begin < n")
     return placed.select("series_id", "path", "n", "begin", F.least(F.col("len"), F.col("n") - F.col("begin")).alias("len"), "start")

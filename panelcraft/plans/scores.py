@@ -265,11 +265,11 @@ def boot_ctes(p: str, source: str, paths: int, seed: int, least: float = 2.0) ->
     cte(f"{p}_block", f"""
 SELECT series_id, path, n, start, fill - len AS lo, least(fill, n) - (fill - len) AS len FROM (
   SELECT *, sum(len) OVER (PARTITION BY series_id, path ORDER BY k)::BIGINT AS fill FROM (
-    SELECT series_id, path, n, k, floor({u(1)} * n)::BIGINT AS start, 1 + floor(ln({u(9)}) / ln(1.0::DOUBLE - 1.0::DOUBLE / block))::BIGINT AS len FROM (
+    SELECT series_id, path, n, k, floor({u(1)} * n)::BIGINT AS start, CASE WHEN k = top THEN n ELSE 1 + floor(ln({u(9)}) / ln(1.0::DOUBLE - 1.0::DOUBLE / block))::BIGINT END AS len FROM (
       SELECT *, md5(concat('{seed}|', series_id, '|', path, '|', k)) AS digest FROM (
-        SELECT *, unnest(range(0, ceil(n / block + 10 * sqrt(n / block))::BIGINT + 21)) AS k FROM (
+        SELECT *, unnest(range(0, top + 1)) AS k FROM (SELECT *, ceil(n / block + 10 * sqrt(n / block))::BIGINT + 20 AS top FROM (
           SELECT b.series_id, n, greatest(block, {least}) AS block, unnest(range(0, {paths})) AS path
-          FROM {source}_block b JOIN {source}_stats t ON b.series_id = t.series_id))))) WHERE fill - len < n""")
+          FROM {source}_block b JOIN {source}_stats t ON b.series_id = t.series_id)))))) WHERE fill - len < n""")
     cte(f"{p}_cell", f"""
 SELECT c.series_id, path, pos, s.ret FROM (SELECT series_id, path, lo + i AS pos, (start + i) % n AS idx
   FROM (SELECT *, unnest(range(0, len)) AS i FROM {p}_block)) c
