@@ -14,7 +14,10 @@ RULES = (
 )
 #: Share of a host's score that goes on along its edges, and the number of steps.
 DAMPING, STEPS = 0.85, 20
-#: A host is blocked if its distrust exceeds its trust by more than this.
+#: A host is blocked if its distrust exceeds its trust by more than this share of it. Scores shrink as the graph
+#: grows, so the limit has no unit of mass; sums that are equal but for rounding count as equal.
+SHARE = 1e-6
+#: The margin of the SQL twin; it agrees as long as no undecided host has scores that small.
 MARGIN = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -87,8 +90,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``page_id, host, path, rule, verdict, trust, distrust`` for every page.
 
     A rule decides where one fits. Elsewhere the host's scores do: seeds are the hosts of ruled pages, weighted
-    by their number of pages; a host is blocked if its distrust exceeds its trust. A host that no score reaches,
-    an empty host and a null url are allowed. A null html has no link. Rows that repeat an id are judged one by
+    by their number of pages; a host is blocked if its distrust exceeds its trust, however small both are (the
+    output rounds them to nine digits, so both may show as 0). A host that no score reaches, an empty host and a
+    null url are allowed. A null html has no link. Rows that repeat an id are judged one by
     one, and count as pages of their host each; an empty table has no rows. Other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "urls")
@@ -100,7 +104,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seeds = ruled.where("kind IS NOT NULL").groupBy("kind", "host").agg(F.count(F.lit(1)).alias("mass"))
     scores = scratch.save(propagate(edges, scratch.save(seeds, "mass"), scratch), "scores")
     judged = ruled.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    own = F.when(F.col("distrust") - F.col("trust") > MARGIN, "block").otherwise("allow")
+    own = F.when(F.col("distrust") > F.col("trust") * (1 + SHARE), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("kind", own).alias("verdict"),
                          F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 

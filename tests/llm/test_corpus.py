@@ -238,6 +238,17 @@ def test_urls(spark):
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_large_graph(spark):
+    seeds = spark.range(1_000_000).select(F.col("id").alias("page_id"), F.lit("http://big.net/fr/").alias("url"), F.lit("").alias("html"))
+    near = "".join(f"<a href='//n{i}.org/'>" for i in range(20))
+    rows = [(-1, "http://weak.net/fr/", ""), *((-2 - i, f"http://n{i}.org/", "<a href='//weak.net/'>") for i in range(20)), (-30, "http://far.org/", near)]
+    rows += [(-40 - i, f"http://f{i}.org/", "<a href='//n0.org/'>") for i in range(20)] + [(-90, "http://alone.org/", "")]
+    pages = seeds.union(spark.createDataFrame(rows, seeds.schema))
+    got = {r["host"]: r for r in url_filters.judge_urls(pages).where("page_id < 0").collect()}
+    assert 0 < url_filters.MARGIN and got["f3.org"]["distrust"] == got["f3.org"]["trust"] == 0  # below nine digits, still reached
+    assert {h for h, r in got.items() if r["verdict"] == "allow"} == {"alone.org"}
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T  t</title><p>x &amp;lt; y<script>q</script><a href='/l'>l</a>", 5), (2, None, None, 6)],
                                   "page_id long, url string, html string, block int")
