@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,9 +54,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without later copies, columns unchanged."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
+    """Pipeline stage: one row per group of equal normalised texts, columns unchanged.
+
+    The row itself goes through the grouping, so rows that share an id or have none are told apart: of each group
+    the row with the smallest id stays, null ids last. Where a group has that id on several rows, a hash of their
+    columns decides. Map-side combine leaves one row per task of a group, however large it is.
+    """
+    norm = squeeze_space(F.coalesce(F.col("text"), F.lit("")))
+    plain = [c for c, f in zip(columns(docs), docs.schema, strict=True) if not re.search("map<|variant", f.dataType.simpleString())]
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*plain))
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), norm.alias("norm"), md5_bytes(norm).alias("hash"), order.alias("order"))
+    return rows.groupBy("hash", "norm").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 @query("op1_exact_dedup", sql=r"""

@@ -296,3 +296,15 @@ def test_pipeline_stages(spark, docs, none):
         assert out.columns == odd.columns and out.where("told <> 'x' OR tokens <> 'x' OR hash <> 'x'").count() == 0 and out.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.select(*plain.columns), "").count() == 0
+
+
+def test_pipeline_exact_rows(spark):
+    rows = [(1, "a b c"), (1, "a  b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, "only null"), (None, "only  null"), (None, "only null"),
+            (3, "first text"), (4, "first text"), (4, "own text"), (5, None), (6, ""), (7, "x"), (7, "y")]
+    made = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = Counter((r["doc_id"], re.sub(" +", " ", r["text"] or "")) for r in exact_dedup.drop_copies(spark, made, "").collect())
+    want: dict = {}
+    for i, t in rows:
+        t = re.sub(" +", " ", t or "")
+        want[t] = min(want.get(t, (True, 0)), (i is None, i or 0))
+    assert got == Counter((None if null else i, t) for t, (null, i) in want.items())
