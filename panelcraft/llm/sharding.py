@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .registry import query, table
+from ..plans.stage import remove
+from .registry import columns, query, table
 from .scratch import Scratch
 
 #: Bytes that every document has besides its text.
@@ -151,16 +153,40 @@ def reshard(docs: DataFrame, n_shards: int, old_shard: Column, id_col: str = "do
         "doc_id", "size", "text_crc32", "old", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
-def write_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
+def write_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                   old_shard: Column | None = None) -> list[int]:
     """Write the shards whose content changes, one folder each, and return their numbers.
 
-    ``plan`` is the result of ``reshard``. A shard that gains and loses nothing keeps its files. The rows of a
-    shard are written by several tasks, each a run of slots.
+    ``plan`` is the result of ``reshard`` on the same ``docs``. A shard that gains and loses nothing keeps its
+    files; one that loses all its rows loses its folder. Every other folder under ``path`` stays as it is. The
+    rows of a shard are written by several tasks, each a run of slots. ``docs`` may be read from ``path`` itself;
+    its own columns ``shard`` and ``slot`` are replaced.
+
+    Rows find their place by id (null included), size, checksum and old shard; those equal in all four are
+    numbered, so each row is written once. ``old_shard`` is the expression given to ``reshard``. It may be left out
+    unless rows that are equal otherwise lie in several old shards, which is an error.
     """
+    spark, key = docs.sparkSession, ["doc_id", "size", "text_crc32", *(["old"] if old_shard is not None else [])]
+    if old_shard is None and not plan.groupBy(*key).agg(F.min("old").alias("a"), F.max("old").alias("b")).where("a <> b").isEmpty():
+        raise ValueError("equal rows lie in several old shards: give old_shard")
     moved = plan.where("old <> shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("old", "shard"))).distinct().collect()})
-    rows = docs.join(plan.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col).where(F.col("shard").isin(touched))
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    filled = {r[0] for r in plan.where(F.col("shard").isin(touched)).select("shard").distinct().collect()}
+    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
+    own = [c for c, name in zip(columns(docs), docs.columns, strict=True) if name.lower() not in ("shard", "slot")]
+    old = [] if old_shard is None else [F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old")]
+    plain = [c for c in own if not re.search("map<|variant", docs.select(c).schema[0].dataType.simpleString())]
+    rows = docs.select(F.struct(*own).alias("row"), F.xxhash64(*plain).alias("tie"), F.col(id_col).cast("long").alias("doc_id"), (F.length(text) + OVERHEAD).cast("long").alias("size"),
+                       F.crc32(text).alias("text_crc32"), *old)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("tie")))  # a retried task numbers them alike
+    place = plan.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot"))).where(F.col("shard").isin(touched))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*key, "k"]]
+    rows = rows.alias("r").join(place.alias("p"), on).select("r.row.*", "p.shard", "p.slot")
+    rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    for shard in touched:
+        if shard not in filled:
+            remove(spark, f"{path}/shard={shard}")
     return touched
 
 
