@@ -308,3 +308,30 @@ def test_pipeline_exact_rows(spark):
         t = re.sub(" +", " ", t or "")
         want[t] = min(want.get(t, (True, 0)), (i is None, i or 0))
     assert got == Counter((None if null else i, t) for t, (null, i) in want.items())
+
+
+def test_language_stage_keeps_letters(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rare = chr(0x30000) + chr(0x323AF)
+    bare = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(["a b", rare, "1 2", None, "", "é"])], kind)
+    got = language_id.drop_unknown_language(spark, bare, "")
+    assert got.columns == bare.columns and {r["doc_id"]: r["lang"] for r in got.collect()} == {0: "und", 1: "und", 5: "und"}
+    und = bare.withColumn("lang", F.lit("und"))  # a label like any other
+    assert {r["doc_id"] for r in language_id.drop_unknown_language(spark, und, "").collect()} == {0, 1, 5}
+
+
+def test_language_blocks(spark, monkeypatch):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(2)
+    words = [["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(3)] for _ in range(7)]
+    rows = [(i, None if i == 5 else " ".join(rng.choices(words[i % 7], k=8)), f"l{i % 7}", "s", 0) for i in range(60)]
+    made = spark.createDataFrame(rows, kind)
+    whole = language_id.fit(made)
+    want = by_id(language_id.identify(made, whole))
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    blocks = language_id.fit(made)
+    assert [b.languages for b in blocks] == [["l0", "l1", "l2"], ["l3", "l4", "l5"], ["l6"]]
+    got = by_id(language_id.identify(made, blocks))
+    assert {i: r["lang_pred"] for i, r in got.items()} == {i: r["lang_pred"] for i, r in want.items()} and got[5]["lang_pred"] == "und"
+    assert all(np.isclose(got[i]["score"], want[i]["score"]) for i in want)
+    assert language_id.drop_unknown_language(spark, made, "").count() == 59
