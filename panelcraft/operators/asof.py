@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.windows import over
+from ..functions.windows import any_of, over
+from ..staging import stage
 
 
 def _micros(ts: Column) -> Column:
@@ -14,6 +15,80 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+#: Time quantiles sketched per key: no key is cut into more buckets.
+MOST_BUCKETS = 1024
+#: Rows that a key may have before it is cut, and about that many per bucket.
+ROWS_PER_BUCKET = 1_000_000
+
+
+def bucket_edges(rows: DataFrame, keys: Sequence[str], at: Column, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame | None:
+    """For keys with more than `rows_per_bucket` rows, the instants (`_edges`) at which buckets of equal row count begin.
+
+    Rows are counted per key with map-side combine; only keys that exceed the bound get a mergeable quantile sketch of
+    their instants, so the written result has at most one edge per `rows_per_bucket` rows. None if no key exceeds it.
+    """
+    large = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_bucket), "large_keys")
+    if large.isEmpty():
+        return None
+    shares = [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)]
+    sketch = rows.join(F.broadcast(large.select(*keys)), list(keys), "left_semi").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(at, shares, 10 * MOST_BUCKETS).alias("_q"))
+    wanted = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("_n") / rows_per_bucket)).cast("int")
+    places = F.transform(F.sequence(F.lit(1), F.col("_wanted") - 1), lambda i: F.get("_q", F.floor(i * MOST_BUCKETS / F.col("_wanted")).cast("int") - 1))
+    return stage(sketch.withColumn("_wanted", wanted).select(*keys, F.array_distinct(places).alias("_edges")), "edges")
+
+
+def edge_bucket(edges: Column, at: Column) -> Column:
+    """Number of edges at or before an instant, by binary search; 0 without edges."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_BUCKETS.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(edges, found + step - 1) <= at, found + step).otherwise(found))
+
+
+def asof_sources(
+    rows: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    left: Column,
+    sources: Mapping[str, tuple[Column, Column]],
+    keep: Sequence[str] = (),
+    tolerance_hours: float | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Give each left row the last value of every source at or before it, unless that is too old: one table, one pass.
+
+    `rows` holds the left rows (`left`) and the rows of all sources (`sources[name] = (is one, its value)`); a row may
+    be several of them. Work is split by key, and keys with many rows by time quantiles as well, so the rows of a key
+    that is most of the table spread over as many tasks as it fills buckets. One sort then serves all sources. What
+    crosses the edges of a cut key is one carried row per bucket, for all sources together. Source rows must be
+    unique per key and instant; a null value of a source hides the ones before it.
+    """
+    at = _micros(F.col(ts))
+    edges = bucket_edges(rows.filter(any_of([left, *[is_one for is_one, _ in sources.values()]])), keys, at, rows_per_bucket)
+    values = {n: F.when(is_one, F.struct(at.alias("at"), v.alias("v"))).alias(f"_{n}") for n, (is_one, v) in sources.items()}
+    kept = F.when(left, F.struct(F.lit(True).alias("_is"), *[F.col(c) for c in keep])).alias("_left")
+    tagged = rows.select(*keys, ts, at.alias("_at"), kept, *values.values()).filter(
+        any_of([F.col("_left").isNotNull(), *[F.col(f"_{n}").isNotNull() for n in sources]]))
+
+    if edges is None:
+        groups = list(keys)
+    else:  # at most one key and one edge per `rows_per_bucket` rows
+        tagged = tagged.join(F.broadcast(edges), list(keys), "left").withColumn("_bucket", edge_bucket(F.col("_edges"), F.col("_at"))).drop("_edges")
+        groups = [*keys, "_bucket"]
+    inside = over(groups, "_at", F.col("_left").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = tagged.withColumns({f"_{n}": F.last(f"_{n}", ignorenulls=True).over(inside) for n in sources}).filter("_left IS NOT NULL")
+    if edges is not None:
+        ends = tagged.join(F.broadcast(edges.select(*keys)), list(keys), "left_semi").groupBy(*groups).agg(
+            *[F.max_by(f"_{n}", F.col(f"_{n}.at")).alias(f"_{n}") for n in sources])
+        before = over(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*groups, *[F.last(f"_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in sources])
+        found = found.join(carried, groups, "left").withColumns({f"_{n}": F.coalesce(f"_{n}", f"_c_{n}") for n in sources})
+    hit = {n: F.col(f"_{n}.v") for n in sources}
+    if tolerance_hours is not None:
+        limit = int(tolerance_hours * 3600 * 1_000_000)
+        hit = {n: F.when(F.col("_at") - F.col(f"_{n}.at") <= limit, v) for n, v in hit.items()}
+    return found.select(*keys, ts, *[F.col(f"_left.{c}").alias(c) for c in keep], *[v.alias(n) for n, v in hit.items()])
+
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,
@@ -21,60 +96,30 @@ def asof_backward(
     ts: str,
     values: Sequence[str],
     tolerance_hours: float | None = None,
-    bucket_hours: float = 24.0,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Give every left row the last right row of its key at or before it, unless that is too old.
 
-    Work is split by (key, time bucket), so a key that holds most of the rows still spreads over as
-    many tasks as it has buckets. What crosses a bucket edge is one carried row per (key, bucket):
-    that small table alone is scanned per key in time order. Right rows must be unique per (key, ts).
+    Two tables are tagged and united; the rest is `asof_sources`.
     """
-    width = int(bucket_hours * 3600 * 1_000_000)
-    micros = _micros(F.col(ts))
-    bucket = F.floor(micros / F.lit(width)).alias("_bucket")
-    payload = F.struct(micros.alias("_at"), *[F.col(v) for v in values])
     rest = [c for c in left.columns if c not in keys and c != ts]
-
-    l = left.select(*keys, ts, bucket, F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
-    r = right.select(*keys, ts, bucket, payload.alias("_right"))
-    both = l.unionByName(r, allowMissingColumns=True)
-
-    ends = both.groupBy(*keys, "_bucket").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col(ts))).alias("_end"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).select(
-        *keys, "_bucket", "_carried"
-    )
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(ts, F.col("_left").isNotNull())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = (
-        both.withColumn("_local", F.last("_right", ignorenulls=True).over(inside))
-        .filter("_left IS NOT NULL")
-        .join(carried, [*keys, "_bucket"])
-        .withColumn("_hit", F.coalesce("_local", "_carried"))
-    )
-    if tolerance_hours is not None:
-        age = _micros(F.col(ts)) - F.col("_hit._at")
-        found = found.withColumn(
-            "_hit", F.when(age <= int(tolerance_hours * 3600 * 1_000_000), F.col("_hit"))
-        )
-    return found.select(
-        *keys, ts, *[F.col(f"_left.{c}").alias(c) for c in rest],
-        *[F.col(f"_hit.{v}").alias(v) for v in values],
-    )
+    rows = left.select(*keys, ts, F.struct(F.lit(True).alias("_is"), *rest).alias("_l")).unionByName(
+        right.select(*keys, ts, F.struct(*values).alias("_r")), allowMissingColumns=True)
+    found = asof_sources(rows, keys, ts, F.col("_l").isNotNull(), {"_r": (F.col("_r").isNotNull(), F.col("_r"))}, ["_l"], tolerance_hours, rows_per_bucket)
+    return found.select(*keys, ts, *[F.col(f"_l.{c}").alias(c) for c in rest], *[F.col(f"_r.{v}").alias(v) for v in values])
 
 
 def observations(
-    events: DataFrame, marks: DataFrame, spots: DataFrame, keys: Sequence[str] = ("symbol",),
-    tolerance_hours: float | None = None, bucket_hours: float = 24.0,
+    rows: DataFrame, keys: Sequence[str] = ("symbol",), source: str = "source", keep: Sequence[str] = (),
+    tolerance_hours: float | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Events with the last mark and the last spot price before them, and the basis between the two."""
-    m = marks.withColumnRenamed("close", "perp_close")
-    s = spots.withColumnRenamed("close", "spot_close")
-    out = asof_backward(events, m, keys, "ts", ["perp_close"], tolerance_hours, bucket_hours)
-    out = asof_backward(out, s, keys, "ts", ["spot_close"], tolerance_hours, bucket_hours)
+    """Events with the last mark and the last spot price before them, and the basis between the two.
+
+    `rows` is one table of events, marks and spots, told apart by `source`; prices are in `close`.
+    """
+    kind, close = F.col(source), F.col("close")
+    prices = {"perp_close": (kind == "mark", close), "spot_close": (kind == "spot", close)}
+    out = asof_sources(rows, keys, "ts", kind == "event", prices, keep, tolerance_hours, rows_per_bucket)
     basis = (F.col("perp_close") - F.col("spot_close")) / F.nullif(F.col("spot_close"), F.lit(0.0))
     return out.withColumn("basis", basis)
 

@@ -117,12 +117,17 @@ FROM (SELECT *, 100.0 + 10.0 * sin(idx / 7.0) AS spot_close FROM (
   FROM settled WHERE realized))""")
 
 
-def quotes(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    return table(spark, sf, "events").filter(F.col("event_type") == kind).select(
-        F.col("user_id").alias("key"), "ts", F.col("value").alias("close"), F.col("event_id").alias("ingest")
+def all_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes of every kind."""
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("key"), "ts", F.col("value").alias("close"), F.col("event_id").alias("ingest"), F.col("event_type").alias("kind")
     )
 
 
+def quotes(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    return all_quotes(spark, sf).filter(F.col("kind") == kind).drop("kind")
+
+
 cte("quotes", "SELECT user_id AS key, ts, value AS close, event_id AS ingest, event_type AS kind FROM events")
 
 

@@ -11,7 +11,7 @@ from ..operators import bootstrap as B
 from ..operators import dispersion as D
 from ..operators import panel as P
 from ..operators.returns import linear_trend
-from .inputs import funding, quotes, round_to, settled, table
+from .inputs import all_quotes, funding, quotes, round_to, settled, table
 from .registry import cte, query
 from .scores import PATHS, boot_ctes
 from .sqltext import score_ctes
@@ -51,9 +51,9 @@ FROM (SELECT l.key, l.ts, l.ingest, CASE WHEN l.ts - m.ts <= INTERVAL 8 HOUR THE
       FROM asof_left l ASOF LEFT JOIN asof_mark m ON l.key = m.key AND l.ts >= m.ts
       ASOF LEFT JOIN asof_spot s ON l.key = s.key AND l.ts >= s.ts)""")
 def jn01(spark, sf):
-    left, marks, spots = (stage(quotes(spark, sf, k), k) for k in ("purchase", "view", "click"))
-    left, marks, spots = left.drop("close"), marks.drop("ingest"), spots.drop("ingest")
-    out = A.observations(left, marks, spots, ["key"], tolerance_hours=8)
+    names = F.create_map(*[F.lit(x) for kv in {"purchase": "event", "view": "mark", "click": "spot"}.items() for x in kv])
+    rows = all_quotes(spark, sf).withColumn("source", F.try_element_at(names, F.col("kind")))
+    out = A.observations(rows, ["key"], keep=["ingest"], tolerance_hours=8)
     return round_to(round_to(out, 6, "perp_close", "spot_close"), 8, "basis")
 
 

@@ -1,42 +1,3 @@
-"""Write an intermediate table once, in the folder all executors share, and read it back."""
+"""The staging helpers under the name that queries use."""
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``.
-
-    Only a session whose executors are threads of the driver (master ``local``) may leave the setting out: its
-    own temporary folder is then shared by definition. Anywhere else a missing setting is an error, because
-    executors on other machines could not read what is written here.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = f"{spark._jvm.java.lang.System.getProperty('java.io.tmpdir')}/panelcraft-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/panelcraft/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Materialise a table that several branches of a query read, so its inputs are scanned once."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a staged table that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+from ..staging import remove, scratch_path, shared_dir, stage  # noqa: F401

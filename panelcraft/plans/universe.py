@@ -10,7 +10,7 @@ from ..functions.windows import over, with_grid
 from ..operators import panel as P
 from ..operators import validate as V
 from .inputs import (
-    bars, bars_strict, chain, funding, macro_panel, numbered, asset_ret, obs, round_to, settled, table, asset_series,
+    all_quotes, bars, bars_strict, chain, funding, macro_panel, numbered, asset_ret, obs, round_to, settled, table, asset_series,
 )
 from .registry import cte, query
 
@@ -203,11 +203,7 @@ def agg03(spark, sf):
 SELECT key, kind, hour, close FROM (SELECT key, kind, date_trunc('hour', ts) AS hour, close,
   row_number() OVER (PARTITION BY key, kind, date_trunc('hour', ts) ORDER BY ingest DESC) AS rn FROM quotes) WHERE rn = 1""")
 def agg04(spark, sf):
-    prices = table(spark, sf, "events").select(
-        (F.col("user_id") % 20).alias("key"), F.col("event_type").alias("kind"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("close"),
-        F.col("event_id").alias("ingest"),
-    )
+    prices = all_quotes(spark, sf).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return P.price_frame(prices, ["key", "kind"]).withColumnRenamed("ts", "hour")
 
 
