@@ -224,6 +224,13 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def out_of_order(spark: SparkSession, rows: DataFrame, name: str, key: str, triggers: int = 6) -> DataFrame:
+    """A stream of the rows in files that each hold some of every day, a few files to a trigger."""
+    path, files = scratch_path(spark, name), 2 * max(triggers, rows.sparkSession.sparkContext.defaultParallelism)
+    rows.repartition(files, F.xxhash64(key)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // triggers)).parquet(path)
+
+
 def streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """The table a stream leaves behind after everything available has been processed."""
     root = scratch_path(spark, name)
@@ -271,16 +278,20 @@ SELECT symbol, ts, round(arg_max(rate, row(realized::INT, -ingest)), 10) AS rate
        coalesce(min(rate) FILTER (realized) <> max(rate) FILTER (realized), false) AS conflict, count(*) AS n_rows
 FROM funding GROUP BY 1, 2""")
 def str02(spark, sf):
-    events = stream_of(spark, sf, "orders").select(
-        F.concat(F.lit("C"), F.col("o_custkey") % 40).alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("ts"), ((F.col("o_totalprice") - 150000.0) / 1e8).alias("rate"),
+    """Events dealt to several triggers without regard to time, merged into a table."""
+    events = table(spark, sf, "orders").select(
+        F.concat(F.lit("C"), F.col("o_custkey") % 40).alias("symbol"), F.col("o_orderdate").alias("ts"), ((F.col("o_totalprice") - 150000.0) / 1e8).alias("rate"),
         (F.col("o_orderstatus") != "P").alias("realized"), F.col("o_orderkey").alias("ingest"),
     )
-    return round_to(_naive(kept_up(spark, J.settled_stream(events), "settled", ["symbol", "ts"]), "ts"), 10, "rate")
+    root = scratch_path(spark, "settled")
+    kept = J.settled_table(f"{root}/table", buckets=16)
+    kept.follow(J.settled_parts(out_of_order(spark, events, "events", "ingest")), f"{root}/log")
+    return round_to(J.settled_rows(kept.read(spark)), 10, "rate")
 
 
 cte("price_no", """
-SELECT 'C' || (o_custkey % 40) AS symbol, o_orderdate AS ts, o_totalprice AS close,
-       row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderdate, o_totalprice) AS rn FROM orders""")
+SELECT o_custkey AS symbol, o_orderdate AS ts, o_totalprice AS close,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice) AS rn FROM orders""")
 cte("price_step", """
 SELECT symbol, ts, close, rn, close AS ema, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn FROM price_no WHERE rn = 1 UNION ALL
 SELECT n.symbol, n.ts, n.close, n.rn, 11.0::DOUBLE / 13 * s.ema + 2.0::DOUBLE / 13 * n.close,
@@ -293,8 +304,16 @@ FROM price_step s JOIN price_no n ON n.symbol = s.symbol AND n.rn = s.rn + 1""",
 SELECT symbol, ts, CASE WHEN rn >= 12 THEN round(ema, 5) END AS ema, CASE WHEN rn > 14 THEN CASE WHEN dn = 0 THEN 100.0 ELSE round(100 - 100 / (1 + up / dn), 7) END END AS rsi
 FROM price_step""")
 def str03(spark, sf):
-    prices = stream_of(spark, sf, "orders").select(
-        F.concat(F.lit("C"), F.col("o_custkey") % 40).alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("close")
-    )
-    out = streamed(spark, J.running_averages(prices, 12), "averages").withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ema", "rsi")})
+    """The later half of the orders as a stream that goes on from the state which the earlier half left."""
+    prices = table(spark, sf, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("close"))
+    middle = prices.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).scalar()
+    late = F.unix_micros(F.col("ts").cast("timestamp")) > middle
+    path = scratch_path(spark, "prices")
+    prices.withColumn("late", late).write.partitionBy("late").parquet(path)
+    schema = prices.schema
+    with J.keyed_state(spark):
+        early = streamed(spark, J.running_averages(spark.readStream.schema(schema).parquet(f"{path}/late=false"), 12), "early")
+        initial = J.averages_state(spark.read.schema(schema).parquet(f"{path}/late=false"), 12)
+        rest = streamed(spark, J.running_averages(spark.readStream.schema(schema).parquet(f"{path}/late=true"), 12, initial=initial), "rest")
+    out = early.unionByName(rest).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ema", "rsi")})
     return round_to(round_to(out, 5, "ema"), 7, "rsi")

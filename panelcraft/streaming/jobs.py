@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from .upsert import UpsertTable
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything available into a table of files, exactly once, and stop."""
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
-    query.trigger(availableNow=True).start().awaitTermination()
+    """Process everything available into a table of files, exactly once, and stop.
+
+    A stream whose state expires by the clock has a batch to run at any time. Two in a row without rows end it: the first
+    may be one that the last stop cut short.
+    """
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    query = writer.trigger(availableNow=True).start()
+    try:
+        while not query.awaitTermination(0.2):
+            last = query.recentProgress[-2:]
+            if len(last) == 2 and not any(p["numInputRows"] for p in last):
+                break
+    finally:
+        query.stop()
 
 
 def run_to_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -59,44 +73,141 @@ def latest_as_of(windows: DataFrame, quotes: DataFrame, as_of: str, window: str
     return picked.select("instrument", *[F.col(f"_q.{c}").alias(c) for c in rest])
 
 
-def settled_stream(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """One row per (symbol, ts): a settled row replaces an estimate, the earliest ingest wins among equals,
-    disagreeing settled rates are flagged. The state is a built-in aggregate."""
-    order = F.struct(F.col("realized").cast("int"), -F.col("ingest"))
+def settled_parts(events: DataFrame) -> DataFrame:
+    """Events in the mergeable form of `settled_table`, one row per event."""
     settled = F.when(F.col("realized"), F.col("rate"))
-    return events.withWatermark("ts", lateness).groupBy("symbol", "ts").agg(
-        F.max_by("rate", order).alias("rate"), F.bool_or("realized").alias("realized"),
-        F.coalesce(F.min(settled) != F.max(settled), F.lit(False)).alias("conflict"), F.count(F.lit(1)).alias("n_rows"),
-    )
+    return events.select(
+        "symbol", "ts", F.struct(F.col("realized").cast("int").alias("settled"), (-F.col("ingest")).alias("age"), "rate").alias("best"),
+        settled.alias("low"), settled.alias("high"), F.lit(1).cast("long").alias("n_rows"))
+
 
+def settled_table(path: str, buckets: int = 64) -> UpsertTable:
+    """One row per (symbol, ts): a settled row replaces an estimate, the earliest ingest wins among equals.
 
-def running_averages(bars: DataFrame, span: int, lateness: str = "1 day", period: int = 14) -> DataFrame:
+    Each part is a maximum, minimum or sum, so events may come in any order and as late as they like.
+    """
+    merge = {"best": F.max("best"), "low": F.min("low"), "high": F.max("high"), "n_rows": F.sum("n_rows")}
+    return UpsertTable(path, ("symbol", "ts"), merge, buckets)
+
+
+def settled_rows(table: DataFrame) -> DataFrame:
+    """What `settled_table` stands for; disagreeing settled rates are flagged."""
+    return table.select(
+        "symbol", "ts", F.col("best.rate").alias("rate"), (F.col("best.settled") == 1).alias("realized"),
+        F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("conflict"), "n_rows")
+
+
+def affine_scan(x: np.ndarray, alpha: float, first: bool, start: float) -> np.ndarray:
+    """y[t] = (1 - alpha) * y[t-1] + alpha * x[t] from `start`, or from y[0] = x[0] where `first`.
+
+    Steps are affine maps; they are composed over spans of 1, 2, 4, ... steps, so there is no loop over rows and no
+    weight grows.
+    """
+    keep, add = np.full(len(x), 1.0 - alpha), alpha * x
+    if first and len(x):
+        keep[0], add[0] = 0.0, x[0]
+    span = 1
+    while span < len(x):
+        add[span:] += keep[span:] * add[:-span]
+        keep[span:] = keep[span:] * keep[:-span]
+        span *= 2
+    return keep * start + add
+
+
+#: What is remembered of a symbol: average, values seen, last value, average gain and loss.
+AVERAGES_STATE = "ema DOUBLE, n BIGINT, last DOUBLE, up DOUBLE, down DOUBLE"
+
+
+def advance(close: np.ndarray, state: tuple, span: int, period: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Averages and relative strengths of one symbol's next values in time order, and the state after them."""
+    ema, n, last, up, down = state
+    averages = affine_scan(close, 2.0 / (span + 1.0), n == 0, ema)
+    step = np.diff(close, prepend=last if n else close[:1])
+    gains, losses = np.maximum(step, 0.0), np.maximum(-step, 0.0)
+    skip = 1 if n == 0 else 0  # the first value has no step
+    ups, downs = np.full(len(close), np.nan), np.full(len(close), np.nan)
+    ups[skip:] = affine_scan(gains[skip:], 1.0 / period, n <= 1, up)
+    downs[skip:] = affine_scan(losses[skip:], 1.0 / period, n <= 1, down)
+    seen = n + 1 + np.arange(len(close))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        strength = np.where(downs == 0.0, 100.0, 100.0 - 100.0 / (1.0 + ups / downs))
+    after = (averages[-1], n + len(close), close[-1], ups[-1] if n + len(close) > 1 else 0.0, downs[-1] if n + len(close) > 1 else 0.0)
+    return np.where(seen >= span, averages, np.nan), np.where(seen > period, strength, np.nan), tuple(float(v) if i != 1 else int(v) for i, v in enumerate(after))
+
+
+class RunningAverages(StatefulProcessor):
+    """Recursive average and relative strength per symbol, carried across micro-batches in a value that expires."""
+
+    def __init__(self, span: int, period: int, keep_ms: int | None) -> None:
+        self.span, self.period, self.keep_ms = span, period, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("averages", AVERAGES_STATE, self.keep_ms)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.state.update((float(row["ema"]), int(row["n"]), float(row["last"]), float(row["up"]), float(row["down"])))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.state.get() if self.state.exists() else (0.0, 0, 0.0, 0.0, 0.0)
+        parts = [(batch["ts"].to_numpy(), batch["close"].to_numpy(dtype=float)) for batch in rows]  # 16 bytes a row of one trigger
+        ts, close = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((close, ts))
+        for at in range(0, len(order), PIECE):
+            piece = order[at : at + PIECE]
+            ema, rsi, state = advance(close[piece], tuple(state), self.span, self.period)
+            yield pd.DataFrame({"symbol": key[0], "ts": ts[piece], "ema": ema, "rsi": rsi})
+        self.state.update(tuple(state))
+
+    def close(self) -> None:
+        pass
+
+
+#: Rows advanced together.
+PIECE = 1 << 16
+#: A symbol that has been silent for so long starts anew.
+KEEP_DAYS = 400
+
+
+def running_averages(
+    bars: DataFrame, span: int, period: int = 14, keep_days: float | None = KEEP_DAYS, initial: DataFrame | None = None
+) -> DataFrame:
     """Recursive average and relative strength per symbol, carried across micro-batches.
 
-    Input: a stream of (symbol, ts, close), each symbol's rows arriving in time order between batches.
-    State per symbol: average, count, last close, average gain and loss.
+    Input: a stream of (symbol, ts, close); a symbol's rows may come in any order inside a micro-batch and in time order
+    between them. The state of a symbol is one row; it ends when the symbol has not been heard of for `keep_days` of
+    processing time. `initial` (symbol and the columns of `averages_state`) lets a stream go on where a table ended. A
+    micro-batch's rows of one symbol must fit a task: bound the trigger of the source. Start it inside `keyed_state`.
     """
     output = T.StructType([
-        T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("ema", T.DoubleType()), T.StructField("rsi", T.DoubleType()),
+        T.StructField("symbol", bars.schema["symbol"].dataType), T.StructField("ts", bars.schema["ts"].dataType), T.StructField("ema", T.DoubleType()), T.StructField("rsi", T.DoubleType()),
     ])
-    state_type = "ema DOUBLE, n BIGINT, last DOUBLE, up DOUBLE, down DOUBLE"
-    alpha, wilder = 2.0 / (span + 1.0), 1.0 / period
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ema, n, last, up, down = state.get if state.exists else (0.0, 0, 0.0, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "close"])
-        averages, strengths = np.full(len(rows), np.nan), np.full(len(rows), np.nan)
-        for i, close in enumerate(rows["close"].to_numpy(dtype=float)):
-            ema = close if n == 0 else (1.0 - alpha) * ema + alpha * close
-            if n > 0:
-                gain, loss = max(close - last, 0.0), max(last - close, 0.0)
-                up = gain if n == 1 else (1.0 - wilder) * up + wilder * gain
-                down = loss if n == 1 else (1.0 - wilder) * down + wilder * loss
-            n, last = n + 1, close
-            averages[i] = ema if n >= span else np.nan
-            if n > period:
-                strengths[i] = 100.0 if down == 0.0 else 100.0 - 100.0 / (1.0 + up / down)
-        state.update((float(ema), int(n), float(last), float(up), float(down)))
-        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "ema": averages, "rsi": strengths})
-
-    return bars.groupBy("symbol").applyInPandasWithState(advance, output, state_type, "append", GroupStateTimeout.NoTimeout)
+    keep = None if keep_days is None else max(1, int(keep_days * 86_400_000))
+    known = None if initial is None else initial.groupBy("symbol")
+    return bars.groupBy("symbol").transformWithStateInPandas(RunningAverages(span, period, keep), output, "append", "processingTime", known)
+
+
+def averages_state(bars: DataFrame, span: int, period: int = 14) -> DataFrame:
+    """The state of `running_averages` at the end of a table of (symbol, ts, close): one row per symbol."""
+    kinds = bars.schema["symbol"].dataType.simpleString()
+
+    def last(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        close = rows.sort_values(["ts", "close"])["close"].to_numpy(dtype=float)
+        state = (0.0, 0, 0.0, 0.0, 0.0)
+        for at in range(0, len(close), PIECE):
+            *_, state = advance(close[at : at + PIECE], state, span, period)
+        return pd.DataFrame([(key[0], *state)], columns=["symbol", "ema", "n", "last", "up", "down"])
+
+    return bars.groupBy("symbol").applyInPandas(last, f"symbol {kinds}, {AVERAGES_STATE}")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, streams started in the session keep their state in the store that keyed processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -393,7 +393,8 @@ def test_streamed_average_equals_batch(spark, tmp_path):
         spark.createDataFrame(part).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     schema = spark.read.parquet(f"{tmp_path}/in/0").schema
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    J.run_to_table(J.running_averages(stream, 12), f"{tmp_path}/out", f"{tmp_path}/log")
+    with J.keyed_state(spark):
+        J.run_to_table(J.running_averages(stream, 12), f"{tmp_path}/out", f"{tmp_path}/log")
     got = spark.read.parquet(f"{tmp_path}/out").toPandas().sort_values(["symbol", "ts"])
     want = pdf.groupby("symbol")["close"].transform(lambda x: x.ewm(span=12, adjust=False, min_periods=12).mean())
     np.testing.assert_allclose(got["ema"].to_numpy(float), want.to_numpy(), rtol=1e-12)
