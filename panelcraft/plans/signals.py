@@ -379,15 +379,25 @@ def set03(spark, sf):
     return symmetric_difference(full, other)
 
 
+cte("fp_lines", """
+SELECT symbol, sha256(concat_ws('|', strftime(date, '%Y-%m-%d'), symbol, CAST(round(close * 1e6) AS BIGINT), CAST(round(dollar_volume * 100) AS BIGINT))) AS d FROM bars""")
+cte("fp_leaves", """
+SELECT symbol, d[:2] AS p, sha256(string_agg(d || '*' || n, chr(10) ORDER BY d || '*' || n)) AS h, sum(n) AS n
+FROM (SELECT symbol, d, count(*) AS n FROM fp_lines GROUP BY 1, 2) GROUP BY 1, 2""")
+cte("fp_inner", "SELECT symbol, p[:1] AS p, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM fp_leaves GROUP BY 1, 2")
+cte("fp_roots", "SELECT symbol, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM fp_inner GROUP BY 1")
+cte("fp_names", """
+SELECT sha256(symbol)[:2] AS p, sha256(string_agg(symbol || '=' || h, chr(10) ORDER BY symbol || '=' || h)) AS h, sum(n) AS n FROM fp_roots GROUP BY 1""")
+
+
 @query("src12_content_fingerprint", """
-SELECT sha256(string_agg(h, '' ORDER BY symbol)) AS fingerprint, sum(n)::BIGINT AS n_rows FROM (
-  SELECT symbol, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS n FROM (
-    SELECT symbol, concat_ws('|', strftime(date, '%Y-%m-%d'), symbol, CAST(round(close * 1e6) AS BIGINT), CAST(round(dollar_volume * 100) AS BIGINT)) AS line FROM bars) GROUP BY 1)""")
+SELECT sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS fingerprint, sum(n)::BIGINT AS n_rows FROM (
+  SELECT p[:1] AS p, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM fp_names GROUP BY 1)""")
 def src12(spark, sf):
     rows = bars(spark, sf).withColumn("date", F.date_format("date", "yyyy-MM-dd")).withColumns(
         {"close": F.round(F.col("close") * 1e6).cast("bigint"), "dollar_volume": F.round(F.col("dollar_volume") * 100).cast("bigint")}
     )
-    return FP.content_fingerprint(rows, "symbol", ["date", "symbol", "close", "dollar_volume"])
+    return FP.content_fingerprint(rows, "symbol", ["date", "symbol", "close", "dollar_volume"], levels=2)
 
 
 @query("trl01_recorded_trials", """

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..functions.calendar import mixed_epoch_ms, ms_to_ts, us_to_ts
 from ..operators.panel import keep_latest
+from .archives import opened, read_zipped_lines
+from .sizing import ROWS_PER_TASK, sized
 
 # File layouts.
 FUNDING_HEADER = "calc_time BIGINT, funding_interval_hours INT, last_funding_rate DECIMAL(38, 18)"
@@ -40,21 +41,29 @@ def read_funding(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in archive.namelist():
-                    with archive.open(member) as handle:
-                        for lines in iter(lambda: handle.readlines(1 << 20), []):
-                            text = [x.decode("utf-8").rstrip("\r\n") for x in lines]
-                            yield pd.DataFrame({"path": path, "member": member, "value": text})
+def funding_of(rows: DataFrame, name: str) -> DataFrame:
+    """Funding lines of text under a header row, with symbol and month from the column `name`."""
+    fields = F.split("value", ",")
+    header = ",".join(part.split()[0] for part in FUNDING_HEADER.split(", "))
+    number = r"^-?[0-9]+(\.[0-9]+)?$"
+    ok = (F.size(fields) == 3) & fields[0].rlike(number) & fields[1].rlike(number) & fields[2].rlike(number)
+    bad = F.raise_error(F.lit("not a funding row")).cast("bigint")
+    return rows.filter(F.col("value") != header).select(
+        F.regexp_extract(name, r"([^/=]+?)-fundingRate-", 1).alias("symbol"), F.regexp_extract(name, r"-fundingRate-(\d{4}-\d{2})", 1).alias("month"),
+        ms_to_ts(F.when(ok, fields[0].cast("bigint")).otherwise(bad)).alias("ts"), fields[2].cast("double").alias("rate"),
+        fields[1].cast("int").alias("interval_hours"), F.lit(True).alias("realized"),
+    )
 
 
-def read_zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of zip archives, one task per archive, streamed in chunks of about a megabyte."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_unzip, "path STRING, member STRING, value STRING")
+def read_funding_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Funding dumps in zip archives whose members are named `<symbol>-fundingRate-<month>…`."""
+    return funding_of(read_zipped_lines(spark, path, "*-fundingRate-*.zip"), "member")
+
+
+def read_kline_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Kline dumps in zip archives whose members are named `<symbol>-klines…`."""
+    lines = read_zipped_lines(spark, path, "*-klines-*.zip")
+    return klines_of(lines.select(F.regexp_extract("member", r"([^/=]+?)-klines", 1).alias("symbol"), "value"))
 
 
 def klines_of(lines: DataFrame) -> DataFrame:
@@ -117,15 +126,25 @@ def read_factors(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return grouped.select("date", *[F.when(F.col("_n") == 1, F.col(c)).otherwise(repeated).alias(c) for c in columns])
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with the file (`path`), the part of it a task reads (`block`) and their order inside (`at`)."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def read_sections(spark: SparkSession, path: str, title: str) -> DataFrame:
     """Lines of multi-section files with the number of the section they stand in (0 before the first title).
 
-    A file is one row of text, so its section count is local to the file; files are read in parallel.
+    Titles are counted per part of a file, the parts' counts are added up along the file, and lines are counted inside
+    their own part. So a file is read in as many tasks as it has parts, and only one count per part crosses them.
     """
-    files = spark.read.option("wholetext", True).text(path).withColumn("path", F.col("_metadata.file_path"))
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    so_far = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.count(F.when(F.col("value").rlike(title), 1)).over(so_far))
+    lines = placed_lines(spark, path).withColumn("_title", F.col("value").rlike(title).cast("long"))
+    along = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("path", "block").agg(F.sum("_title").alias("_n"))
+    earlier = parts.select("path", "block", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = lines.withColumn("_here", F.sum("_title").over(inside)).join(earlier, ["path", "block"])
+    return counted.select("path", "value", (F.col("_before") + F.col("_here")).alias("section"))
 
 
 def read_first_section(spark: SparkSession, path: str, title: str, columns: Sequence[str]) -> DataFrame:
@@ -142,20 +161,31 @@ def read_two_sections(spark: SparkSession, path: str, title: str, columns: Seque
     return a.join(b, "date")
 
 
-def read_rate_years(spark: SparkSession, paths: dict[int, str], rate: str = "10 Yr") -> DataFrame:
-    """Yearly rate files whose columns drift: `Date` and the rate are found by name, blanks dropped,
-    percent to decimal. A date outside its file's year, a rate not above zero or a repeated date fails."""
-    out = None
-    for year, path in sorted(paths.items()):
-        raw = spark.read.option("header", True).csv(path)
-        day = F.to_date(F.col("Date"), "MM/dd/yyyy")
-        value = F.trim(F.col(f"`{rate}`"))
-        rows = raw.filter(value.isNotNull() & (value != "")).select(
-            F.when(F.year(day) == year, day).otherwise(F.raise_error(F.lit(f"date outside {year}")).cast("date")).alias("date"),
-            F.when(value.cast("double") > 0, value.cast("double") / 100.0).otherwise(F.raise_error(F.lit("rate not above zero")).cast("double")).alias("rate"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    once = out.groupBy("date").agg(F.count(F.lit(1)).alias("_n"), F.first("rate").alias("rate"))
+def cells(line: Column) -> Column:
+    """Fields of a plain CSV line without surrounding blanks or quotes."""
+    return F.transform(F.split(line, ","), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
+
+
+def read_rate_years(spark: SparkSession, path: str, rate: str = "10 Yr", year: str = r"(\d{4})[^/]*(?:/[^/]*)?$") -> DataFrame:
+    """Yearly rate files whose columns drift: `Date` and the rate are found by name in each file's first line, blanks are
+    dropped, percent becomes decimal. All files are one job; what is looked up is two places per file.
+
+    `year` takes a file's year from its path. A date outside it, a rate not above zero, a repeated date or a file without
+    the columns fails.
+    """
+    lines = placed_lines(spark, path)
+    heads = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "at")).alias("_head"))
+    place = {c: F.array_position(cells(F.col("_head")), name).cast("int") for c, name in (("_day", "Date"), ("_rate", rate))}
+    bad = F.raise_error(F.lit("file lacks a needed column")).cast("int")
+    known = heads.select("path", "_head", *[F.when(p > 0, p).otherwise(bad).alias(c) for c, p in place.items()])
+    body = lines.join(known, "path").filter((F.col("value") != F.col("_head")) & (F.trim("value") != ""))
+    found = body.select("path", F.get(cells(F.col("value")), F.col("_day") - 1).alias("d"), F.get(cells(F.col("value")), F.col("_rate") - 1).alias("v"))
+    day, own = F.to_date("d", "MM/dd/yyyy"), F.regexp_extract("path", year, 1).cast("int")
+    rows = found.filter(F.col("v") != "").select(
+        F.when(F.year(day) == own, day).otherwise(F.raise_error(F.concat(F.lit("date outside "), own.cast("string"))).cast("date")).alias("date"),
+        F.when(F.col("v").cast("double") > 0, F.col("v").cast("double") / 100.0).otherwise(F.raise_error(F.lit("rate not above zero")).cast("double")).alias("rate"),
+    )
+    once = rows.groupBy("date").agg(F.count(F.lit(1)).alias("_n"), F.first("rate").alias("rate"))
     return once.select("date", F.when(F.col("_n") == 1, F.col("rate")).otherwise(F.raise_error(F.lit("repeated date")).cast("double")).alias("rate"))
 
 
@@ -184,9 +214,9 @@ def read_settled_pages(spark: SparkSession, path: str, now_ms: int) -> DataFrame
     )
 
 
-def write_panel(df: DataFrame, path: str, partition: str, order: Sequence[str]) -> None:
-    """A keyed panel as a table partitioned by one column, sorted inside its files."""
-    df.repartition(partition).sortWithinPartitions(partition, *order).write.partitionBy(partition).parquet(path)
+def write_panel(df: DataFrame, path: str, partition: str, order: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> None:
+    """A keyed panel as a table partitioned by one column, sorted inside its files; a large key is several files."""
+    sized(df, partition, rows_per_task, order).write.partitionBy(partition).parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -199,16 +229,43 @@ def file_name(depth: int = 1) -> Column:
     return F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/")
 
 
-def audit_files(spark: SparkSession, path: str, manifest: DataFrame, depth: int = 1) -> DataFrame:
-    """Every file of a manifest (file_name, sha256, size_bytes) against what has landed."""
-    landed = spark.read.format("binaryFile").load(path).select(
-        file_name(depth).alias("file_name"), F.sha2("content", 256).alias("found_sha256"), F.col("length").alias("found_size")
-    )
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            store, name = opened(path)
+            with store.open_input_stream(name) as handle:
+                digest = hashlib.sha256()
+                for chunk in iter(lambda: handle.read(1 << 20), b""):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield batch.assign(sha256=found)
+
+
+def file_digests(spark: SparkSession, path: str, pattern: str = "*", depth: int = 1) -> DataFrame:
+    """Name, size and SHA-256 of every file below a path. Tasks hash a megabyte at a time; no file becomes a cell."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+    spread = files.repartition(spark.sparkContext.defaultParallelism)  # the listing packs small files into few tasks
+    hashed = spread.mapInPandas(_digests, "path STRING, length BIGINT, sha256 STRING")
+    return hashed.select(file_name(depth).alias("file_name"), "sha256", F.col("length").alias("size_bytes"))
+
+
+def audit_files(landed: DataFrame, manifest: DataFrame, vendor: DataFrame | None = None) -> DataFrame:
+    """Every file of a manifest (file_name, sha256, size_bytes), of the vendor's checksums (file_name, sha256) and of what has
+    landed (`file_digests`), with the first thing that is wrong with it."""
+    found = landed.select("file_name", F.col("sha256").alias("found_sha256"), F.col("size_bytes").alias("found_size"))
+    both = manifest.select("file_name", F.lower("sha256").alias("sha256"), "size_bytes").join(found, "file_name", "full")
+    if vendor is None:
+        both = both.withColumn("vendor_sha256", F.lit(None).cast("string"))
+    else:
+        both = both.join(vendor.select("file_name", F.lower("sha256").alias("vendor_sha256")), "file_name", "full")
     status = (
         F.when(F.col("found_sha256").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted")
-        .when(F.col("found_size") != F.col("size_bytes"), "size_differs").when(F.col("found_sha256") != F.lower("sha256"), "hash_differs").otherwise("ok")
+        .when(F.col("found_size") != F.col("size_bytes"), "size_differs").when(F.col("found_sha256") != F.col("sha256"), "hash_differs")
+        .when(F.col("found_sha256") != F.col("vendor_sha256"), "vendor_differs")
     )
-    return manifest.join(landed, "file_name", "full").withColumn("status", status)
+    unknown = F.when(F.col("vendor_sha256").isNull(), "vendor_unlisted") if vendor is not None else F.lit(None)
+    return both.withColumn("status", F.coalesce(status, unknown, F.lit("ok")))
 
 
 def checksum_lines(lines: DataFrame) -> DataFrame:
