@@ -185,9 +185,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns ``doc_id, n_shingles, component_id, kept``, one row per input row: the size of the set, the smallest
     id reachable over links, and whether that is the row's own. Words are lower-cased in A-Z. A text with fewer
     than ``width`` words is one shingle. A null or empty text, or one of white space only, has no shingle and
-    links with nothing: it is its own component. Equal sets link. Rows that repeat an id are one document; a
-    null id never links and is kept. Other columns are not looked at.
+    links with nothing: it is its own component. Equal sets link. Texts of any length are hashed in blocks. An empty
+    table gives no rows. Where ids repeat or are null, each row is a document of its own: the rows are numbered in a
+    written copy, and the smallest id of a component is looked up at the end (null where all its ids are). Other
+    columns are not looked at.
     """
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("i")).count().agg(F.max("count"), F.count_if(F.col("i").isNull())).first()
+    if (ids[0] or 0) <= 1 and not ids[1]:
+        return _of_unique(docs, id_col, text_col, width, percent, n_hashes)
+    scratch = Scratch(docs.sparkSession, "near_rows")
+    rows = scratch.save(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "rows")
+    found = _of_unique(rows, "row", "text", width, percent, n_hashes).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group"))
+    found = scratch.save(found.join(rows.select("row", "id"), "row"), "found")
+    least = found.groupBy("group").agg(F.min("id").alias("component_id"))
+    return found.join(least, "group").select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _of_unique(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, n_hashes: int) -> DataFrame:
+    """``near_dedup`` where no id is null and none repeats."""
     spark, rows = docs.sparkSession, band_rows(percent, n_hashes)
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -216,8 +233,7 @@ def _components_of_sets(texts: DataFrame, sketch: DataFrame, classes: DataFrame,
     scratch.drop(banded, buckets)
 
     ids = scratch.save(members.select("id").distinct(), "ids")
-    sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]) if _repeats(sketch) else texts.join(
-        ids, texts["doc_id"] == ids["id"], "left_semi")
+    sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi")
     sets = scratch.save(sets.mapInArrow(partial(_sets, width=width, rows=band_rows(percent, n_hashes), n_hashes=n_hashes),
         "id long, shingles array<long>, marks binary, bands binary"), "sets")
     single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
@@ -261,16 +277,21 @@ def _components_of_sets(texts: DataFrame, sketch: DataFrame, classes: DataFrame,
     return scratch.save(components(first.union(second), scratch), "components")
 
 
-def _repeats(sketch: DataFrame) -> bool:
-    """Whether an id occurs on several rows."""
-    total, distinct = sketch.where("doc_id IS NOT NULL").groupBy("doc_id").count().agg(F.sum("count"), F.count(F.lit(1))).first()
-    return (total or 0) != distinct
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group, columns unchanged."""
-    gone = near_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
+    """Pipeline stage: one row of each near-duplicate group, columns unchanged.
+
+    Rows are numbered in a written copy, so rows that share an id or have none are told apart. Of each group the row with
+    the smallest id stays, null ids last, the earlier row of equal ids.
+    """
+    scratch = Scratch(spark, "near_stage")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns(docs)).alias("doc")), "rows")
+    texts = rows.select("row", F.col("doc")["text"].alias("text"))
+    found = scratch.save(_of_unique(texts, "row", "text", 5, 80, N_HASHES).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "found")
+    groups = found.where("row <> group").select("group").distinct()
+    members = scratch.save(found.join(groups, "group", "left_semi").join(rows.select("row", F.col("doc")["doc_id"].cast("long").alias("id")), "row"), "members")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("first.row")
+    gone = members.select("row").join(first, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 @query("op2_minhash_near_dedup")
