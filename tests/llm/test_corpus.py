@@ -197,13 +197,69 @@ def test_mixing(docs, none):
     assert {r["source"] for r in got} <= {*mixing.SOURCES, "other"} and mixing.mix_documents(none, mixing.production_mix()).count() == 0
     tokens = np.random.default_rng(3).integers(50, 100, (3, 2, 2)).astype(float)
     targets = [np.array([0.3, 0.3, 0.4]), np.array([0.55, 0.45]), np.array([0.5, 0.5])]
-    p = mixing.rake(tokens, targets, 0.3)
+    p, met, settled = mixing.rake(tokens, targets, 0.3)
+    assert met and settled
     kept = tokens * p
     for axis, target in enumerate(targets):
         assert np.allclose(kept.sum(axis=tuple(i for i in range(3) if i != axis)) / kept.sum(), target, atol=1e-6)
     assert np.isclose(kept.sum(), 0.3 * tokens.sum())
 
 
+def slow_rake(tokens: dict, targets: list[dict], keep: float, most: float) -> dict:
+    """Plain loops over cells, one margin after the other, many times."""
+    total, p = sum(tokens.values()), {c: keep for c in tokens}
+    for _ in range(3000):
+        for axis, target in enumerate(targets):
+            got: Counter = Counter()
+            for c in tokens:
+                got[c[axis]] += tokens[c] * p[c]
+            there = {k: v for k, v in target.items() if got[k] > 0}
+            for c in tokens:
+                want = there.get(c[axis], 0) / sum(there.values()) * keep * total
+                p[c] = min(most, p[c] * want / got[c[axis]]) if got[c[axis]] else 0.0
+    return p
+
+
+@pytest.mark.parametrize("keep, least, met", [(0.2, None, True), (0.9, None, False), (0.9, 0.05, True)])
+def test_mixing_margins(spark, keep, least, met):
+    rng, rows = random.Random(7), []
+    for i in range(600):
+        rows.append((i, " ".join(["w"] * rng.randint(1, 30)), rng.choice("aaaaab"), rng.choice("xy")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    mix = mixing.Mix({"source": {"a": 0.6, "b": 0.4}, "lang": {"x": 3, "y": 1}}, keep, least)
+    got = mixing.mix_documents(docs, mix).collect()
+    tokens: Counter = Counter()
+    for r in got:
+        tokens[r["source"], r["lang"]] += r["tokens"]
+    assert all(r["met"] == met and r["settled"] for r in got)
+    p = {(r["source"], r["lang"]): r["p"] for r in got}
+    total = sum(tokens[c] * p[c] for c in p) / sum(tokens.values())
+    want = slow_rake(tokens, [{"a": 0.6, "b": 0.4}, {"x": 0.75, "y": 0.25}], total if met else keep, 1.0)
+    assert all(abs(p[c] - want[c]) < 1e-6 for c in p)
+    told = {(r["margin"], r["category"]): r for r in mixing.shares(docs, mix).collect()}
+    assert len(told) == 4 and all(abs(r["expected"] - r["target"]) < 1e-9 for r in told.values()) == met
+    assert abs(told["source", "b"]["drawn"] - sum(r["tokens"] for r in got if r["kept"] and r["source"] == "b") / sum(r["tokens"] for r in got if r["kept"])) < 1e-12
+    if met and least:
+        assert max(p.values()) == pytest.approx(1.0) and total < keep
+
+
+def test_mixing_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "a", "x") for i in range(400)], "doc_id long, text string, source string, lang string")
+    kept = mixing.mix_documents(docs, mixing.Mix({"source": {"a": 1.0}}, 0.5)).where("kept").count()
+    assert 120 < kept < 280
+
+
+def test_quality_method_decides(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    paragraph = " ".join(word() for _ in range(40))
+    long = " ".join([paragraph] + [word() for _ in range(400)] + [paragraph])
+    short = " ".join([" ".join(paragraph.split()[:12])] + [word() for _ in range(400)] + [" ".join(paragraph.split()[:12])])
+    docs = spark.createDataFrame([(1, long), (2, short), (3, " ".join(word() for _ in range(90_000)))], "doc_id long, text string")
+    got = by_id(quality_rules.judged(quality_rules.repetition(docs)))
+    assert [(got[i]["base_failed"], got[i]["kept"]) for i in (1, 2, 3)] == [(False, False), (False, True), (False, True)]
+
+
 def test_bpe_equals_library(docs, none):
     from tokenizers import Tokenizer
 
@@ -298,6 +354,45 @@ def test_pipeline_stages(spark, docs, none):
         assert stage(spark, none.select(*plain.columns), "").count() == 0
 
 
+def test_near_rows_with_shared_and_missing_ids(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    base, lone, other, third = words(120), words(90), words(80), words(70)
+    rows = [(3, base), (7, base + " tail"), (7, lone), (None, other), (None, other + " x"), (8, third + " y"), (None, third), (9, None), (9, ""), (None, None), (None, "  ")]
+    made = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = Counter((r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(spark, made, "").collect())
+    must = Counter([(3, base), (7, lone), (8, third + " y"), (9, None), (9, ""), (None, None), (None, "  ")])
+    assert got - must in (Counter([(None, other)]), Counter([(None, other + " x")])) and not must - got
+    told = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(made).collect())
+    assert told == Counter([(3, 3, True), (7, 3, False), (7, 7, True), (None, None, True), (None, None, True), (8, 8, True), (None, 8, False), (9, 9, True), (9, 9, True),
+                            (None, None, True), (None, None, True)])
+
+
+def test_pipeline_rows(spark, docs):
+    """All stages over rows with null and repeated ids, compared as rows."""
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    words = [f"w{i}" for i in range(90)]
+    extra = [(5, " ".join(words)), (5, " ".join(words[:-1])), (5, "a text of its own under a taken id"), (None, " ".join(words[::-1])), (None, " ".join(words[::-1]) + " z")]
+    rows = rows.union(spark.createDataFrame([(*r, "en", "src1", 0) for r in extra], rows.schema))
+    told = corpus_pipeline.STAGES[0][1](spark, rows, "")
+    letters = [(r["doc_id"], r["text"]) for r in rows.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert Counter((r["doc_id"], r["text"]) for r in told.collect()) == Counter(letters)
+    once = exact_dedup.drop_copies(spark, told, "")
+    left = [(r["doc_id"], r["text"]) for r in once.collect()]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    assert Counter(norm(t) for _, t in left) == Counter({norm(t) for _, t in letters})
+    near = [(r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(spark, once, "").collect()]
+    groups = {c for _, c in brute_components({i: t for i, (_, t) in enumerate(left)}, 5, 80).values()}
+    place = {pair: i for i, pair in enumerate(left)}
+    parts = brute_components({i: t for i, (_, t) in enumerate(left)}, 5, 80)
+    assert not Counter(near) - Counter(left) and Counter(parts[place[x]][1] for x in near) == Counter(groups)
+    least = {}
+    for i, (doc_id, _) in enumerate(left):
+        key = (doc_id is None, doc_id or 0)
+        least[parts[i][1]] = min(least.get(parts[i][1], key), key)
+    assert all(least[parts[place[x]][1]] == (x[0] is None, x[0] or 0) for x in near)
+
+
 def test_pipeline_exact_rows(spark):
     rows = [(1, "a b c"), (1, "a  b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, "only null"), (None, "only  null"), (None, "only null"),
             (3, "first text"), (4, "first text"), (4, "own text"), (5, None), (6, ""), (7, "x"), (7, "y")]
