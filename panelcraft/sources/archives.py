@@ -22,6 +22,15 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
+def list_files(path: str, pattern: str) -> list[tuple[str, int]]:
+    """Files at or below a path whose names fit, with their sizes, in order."""
+    store, root = opened(path)
+    if (only := store.get_file_info(root)).type == pafs.FileType.File:
+        return [(root, only.size)]
+    found = store.get_file_info(pafs.FileSelector(root, recursive=True))
+    return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pattern))
+
+
 @dataclass
 class Member(InputPartition):
     """One text file inside an archive."""
@@ -37,13 +46,9 @@ class LineReader(DataSourceReader):
         self.path, self.pattern = path, pattern
 
     def partitions(self) -> list[Member]:
-        store, root = opened(self.path)
-        if store.get_file_info(root).type == pafs.FileType.File:
-            found = [root]
-        else:
-            found = sorted(f.path for f in store.get_file_info(pafs.FileSelector(root, recursive=True)) if fnmatch.fnmatch(f.base_name, self.pattern))
+        store, _ = opened(self.path)
         out = []
-        for path in found:
+        for path, _ in list_files(self.path, self.pattern):
             with store.open_input_file(path) as handle, zipfile.ZipFile(handle) as archive:
                 out += [Member(path, m.filename) for m in archive.infolist() if not m.is_dir()]
         return out

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.calendar import mixed_epoch_ms, ms_to_ts, us_to_ts
 from ..operators.panel import keep_latest
-from .archives import opened, read_zipped_lines
+from .archives import list_files, opened, read_zipped_lines
 from .sizing import ROWS_PER_TASK, sized
 
 # File layouts.
@@ -229,11 +230,11 @@ def file_name(depth: int = 1) -> Column:
     return F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/")
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digests(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
+    store, _ = opened(root)
     for batch in batches:
         found = []
-        for path in batch["path"]:
-            store, name = opened(path)
+        for name in batch["path"]:
             with store.open_input_stream(name) as handle:
                 digest = hashlib.sha256()
                 for chunk in iter(lambda: handle.read(1 << 20), b""):
@@ -244,9 +245,8 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*", depth: int = 1) -> DataFrame:
     """Name, size and SHA-256 of every file below a path. Tasks hash a megabyte at a time; no file becomes a cell."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
-    spread = files.repartition(spark.sparkContext.defaultParallelism)  # the listing packs small files into few tasks
-    hashed = spread.mapInPandas(_digests, "path STRING, length BIGINT, sha256 STRING")
+    files = spark.createDataFrame(list_files(path, pattern), "path STRING, length BIGINT")  # Spark's own listing leaves out empty files
+    hashed = files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(partial(_digests, root=path), "path STRING, length BIGINT, sha256 STRING")
     return hashed.select(file_name(depth).alias("file_name"), "sha256", F.col("length").alias("size_bytes"))
 
 
