@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.windows import running
@@ -124,17 +126,50 @@ def difference_interval(series: DataFrame, side: str, n_paths: int, seed: int, a
     )
 
 
+#: Groups that the paths of a series are dealt to.
+PATH_GROUPS = 16
+
+
+def path_products(series: DataFrame, weights: DataFrame, n_paths: int, blocks: DataFrame, seed: int) -> DataFrame:
+    """Sum over positions of weight times resampled value, for every path: rows (series_id, path, value).
+
+    `weights` has a `w` per (series_id, idx). Only blocks are rows. Values and weights of a series, one number a day, meet
+    the blocks of some of its paths in one task, which adds up the products along each block; a block that runs past the
+    end goes on at the start.
+    """
+    sides = series.join(weights, ["series_id", "idx"]).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("idx", "ret", "w"))).alias("rows"))
+    sides = sides.select(F.col("series_id").alias("id"), "rows", F.explode(F.sequence(F.lit(0), F.lit(PATH_GROUPS - 1))).alias("group"))
+    drawn = block_draws(series, n_paths, blocks, seed).withColumn("part", F.pmod("path", F.lit(PATH_GROUPS)))
+
+    def add(drawn: pa.Table, sides: pa.Table) -> pa.Table:
+        if not drawn.num_rows or not sides.num_rows:
+            return pa.table({"series_id": pa.array([], pa.string()), "path": pa.array([], pa.int32()), "value": pa.array([], pa.float64())})
+        rows = sides["rows"].combine_chunks().flatten()
+        ret, w = rows.field("ret").to_numpy(zero_copy_only=False), rows.field("w").to_numpy(zero_copy_only=False)
+        path, begin, length, start = (drawn[c].to_numpy() for c in ("path", "begin", "len", "start"))
+        block = np.repeat(np.arange(len(path)), length)
+        inside = np.arange(len(block)) - (np.cumsum(length) - length)[block]
+        products = w[begin[block] + inside] * ret[(start[block] + inside) % len(ret)]
+        paths, code = np.unique(path, return_inverse=True)
+        return pa.table({"series_id": pa.array([drawn["series_id"][0].as_py()] * len(paths), pa.string()), "path": pa.array(paths.astype(np.int32)),
+                         "value": np.bincount(code[block], products, len(paths))})
+
+    return drawn.groupBy("series_id", "part").cogroup(sides.groupBy("id", "group")).applyInArrow(add, "series_id string, path int, value double")
+
+
 def trend_interval(series: DataFrame, n_paths: int, seed: int, alpha: float = 0.05, per_year: float = 365.0) -> DataFrame:
-    """Slope per year of each series with an interval from resampled residuals."""
+    """Slope per year of each series with an interval from resampled residuals.
+
+    The slope of fit plus resampled residuals is the fitted slope plus the residuals' product with the centred calendar.
+    """
     origin = series.groupBy("series_id").agg(F.min("dt").alias("_first"))
     timed = series.join(origin, "series_id").withColumn("years", F.datediff("dt", "_first") / per_year)
     fit = timed.groupBy("series_id").agg(
-        F.regr_slope("ret", "years").alias("slope"), F.regr_intercept("ret", "years").alias("intercept")
+        F.regr_slope("ret", "years").alias("slope"), F.regr_intercept("ret", "years").alias("intercept"), F.avg("years").alias("_mean"), F.regr_sxx("ret", "years").alias("_sxx")
     )
-    fitted = timed.join(fit, "series_id").withColumn("fitted", F.col("intercept") + F.col("slope") * F.col("years"))
-    residuals = fitted.select("series_id", "idx", (F.col("ret") - F.col("fitted")).alias("ret"))
-    paths = resample(residuals, n_paths, with_blocks(residuals), seed)
-    grid = fitted.select("series_id", F.col("idx").alias("pos"), "years", "fitted")
-    synthetic = paths.join(grid, ["series_id", "pos"]).withColumn("y", F.col("fitted") + F.col("ret"))
-    slopes = synthetic.groupBy("series_id", "path").agg(F.regr_slope("y", "years").alias("value"))
+    fitted = timed.join(fit, "series_id")
+    residuals = fitted.select("series_id", "idx", (F.col("ret") - F.col("intercept") - F.col("slope") * F.col("years")).alias("ret"))
+    weights = fitted.select("series_id", "idx", F.try_divide(F.col("years") - F.col("_mean"), F.col("_sxx")).alias("w"))
+    moved = path_products(residuals, weights, n_paths, with_blocks(residuals), seed).join(fit.select("series_id", "slope"), "series_id")
+    slopes = moved.select("series_id", "path", (F.col("slope") + F.col("value")).alias("value"))
     return fit.select("series_id", "slope").join(interval(slopes, alpha), "series_id")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import HOURS_PER_YEAR
+from ..functions.normal import psr
 from ..functions.windows import over, uniform, with_grid
 from . import costs
 from .returns import additive_drawdown
@@ -114,22 +115,29 @@ def interval_series(obs: DataFrame, priced: DataFrame, horizons: Sequence[int],
     return joined.select(*CELL, (F.col("_row") - 1).alias("idx"), ret.alias("ret"))
 
 
-def early_gate(priced: DataFrame, keys: Sequence[str] = (*CELL, "tradeable")) -> DataFrame:
-    """Median funding against median cost per cell, and both on a yearly basis."""
-    agg = priced.groupBy(*keys).agg(
+def _medians(priced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return priced.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trades"), F.median("funding_collected").alias("median_funding"),
         F.median("financing_cost").alias("median_financing"), F.median("hold_hours").alias("median_hold"),
         F.max("round_trip_cost").alias("round_trip_cost"),
     )
+
+
+def _gated(medians: DataFrame) -> DataFrame:
     yearly = F.when(F.col("median_hold") > 0, HOURS_PER_YEAR / F.col("median_hold")).otherwise(0.0)
     realized = F.col("round_trip_cost") + F.col("median_financing")
     return (
-        agg.withColumn("realized_cost", realized).withColumn("headroom", F.col("median_funding") - realized)
+        medians.withColumn("realized_cost", realized).withColumn("headroom", F.col("median_funding") - realized)
         .withColumn("funding_annualized", F.col("median_funding") * yearly)
         .withColumn("financing_annualized", F.col("median_financing") * yearly)
     )
 
 
+def early_gate(priced: DataFrame, keys: Sequence[str] = (*CELL, "tradeable")) -> DataFrame:
+    """Median funding against median cost per cell, and both on a yearly basis."""
+    return _gated(_medians(priced, keys))
+
+
 def price_contamination(gross_trades: DataFrame, keys: Sequence[str] = ("symbol", "horizon")) -> DataFrame:
     """How much of the result is price movement: mean ratio, medians, nearest-rank 95 % size, and a flag."""
     size = F.abs("price_pnl")
@@ -172,20 +180,59 @@ def after_tax(priced: DataFrame, rate: float, keys: Sequence[str] = CELL) -> Dat
     return agg.withColumn("tax_drag", F.col("pre_tax") - F.col("after_tax"))
 
 
-def headline_series(obs: DataFrame, priced: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Every series the headline needs, as (cell keys, kind, idx, ret): one per strided phase, and the lumpy
-    and even interval series."""
-    phases = strided(priced).select(*CELL, F.col("phase").cast("string").alias("kind"), "idx", F.col("net").alias("ret"))
-    lumpy = interval_series(obs, priced, horizons, False).withColumn("kind", F.lit("lumpy"))
-    even = interval_series(obs, priced, horizons, True).withColumn("kind", F.lit("amortised"))
-    return phases.unionByName(lumpy, allowMissingColumns=True).unionByName(even, allowMissingColumns=True)
+def with_financing(gross_trades: DataFrame, capital_multiples: Sequence[float] = costs.CAPITAL_MULTIPLES) -> DataFrame:
+    """Trades for every capital multiple, with the financing cost: what no venue changes."""
+    financing = costs.financing_cost(F.col("hold_hours"), F.col("capital_multiple"))
+    return with_grid(gross_trades, [{"capital_multiple": m} for m in capital_multiples]).withColumn("financing_cost", financing)
+
+
+#: Venue of a series that serves all venues.
+ANY_VENUE = ""
+
 
+def headline_series(obs: DataFrame, financed: DataFrame, horizons: Sequence[int], venues: Sequence[dict] | None = None) -> DataFrame:
+    """Every series the headline needs, as (cell keys, kind, idx, ret).
 
-def headline(series: DataFrame) -> DataFrame:
+    A venue takes the same amount from every result of a strided phase and of the even interval series, so these are
+    formed once, before its cost, under `ANY_VENUE`. Only the lumpy interval series, where the cost falls on two
+    settlements of a trade, is formed per venue.
+    """
+    cell = ("symbol", "capital_multiple", "horizon")
+    phases = strided(financed).select(*cell, F.col("phase").cast("string").alias("kind"), "idx", (F.col("gross") - F.col("financing_cost")).alias("ret"))
+    entries = strided(financed, 0).select(*cell, F.col("idx").alias("_trade"), "financing_cost", "price_pnl")
+    rows = obs.filter("idx >= 1").select("symbol", F.col("idx").alias("_row"), "funding_rate")
+    steps = (
+        with_grid(rows, [{"horizon": h} for h in horizons])
+        .withColumn("_trade", F.floor((F.col("_row") - 1) / F.col("horizon"))).withColumn("_step", F.pmod(F.col("_row") - 1, F.col("horizon")))
+        .join(entries, ["symbol", "horizon", "_trade"])
+    )
+    first, last = F.col("_step") == 0, F.col("_step") == F.col("horizon") - 1
+    base = F.col("funding_rate") - F.col("financing_cost") / F.col("horizon") + F.when(last, F.col("price_pnl")).otherwise(0.0)
+    sides = F.array(F.struct(F.lit(ANY_VENUE).alias("venue"), F.lit("amortised").alias("kind"), F.lit(0.0).alias("cost")), *[
+        F.struct(F.lit(v["venue"]).alias("venue"), F.lit("lumpy").alias("kind"),
+                 (F.when(first, F.lit(v["entry_cost"])).otherwise(0.0) + F.when(last, F.lit(v["exit_cost"])).otherwise(0.0)).alias("cost"))
+        for v in venues or costs.venue_rows()
+    ])
+    laid = steps.select(*cell, (F.col("_row") - 1).alias("idx"), base.alias("ret"), F.explode(sides).alias("_s"))
+    laid = laid.select(*cell, "_s.venue", "_s.kind", "idx", (F.col("ret") - F.col("_s.cost")).alias("ret"))
+    return phases.withColumn("venue", F.lit(ANY_VENUE)).unionByName(laid)
+
+
+def venue_scores(scores: DataFrame, venues: Sequence[dict] | None = None) -> DataFrame:
+    """Scores of `headline_series` for every venue: a constant cost moves the mean alone, so deviation, block length,
+    skewness and kurtosis are those of the shared series, and the Sharpe ratio is moved in closed form."""
+    shared = with_grid(scores.filter(F.col("venue") == ANY_VENUE).drop("venue"), [{k: v[k] for k in ("venue", "round_trip_cost")} for v in venues or costs.venue_rows()])
+    cost = F.when(F.col("kind") == "amortised", F.col("round_trip_cost") / F.col("horizon")).otherwise(F.col("round_trip_cost"))
+    moved = shared.withColumn("mean", F.col("mean") - cost).withColumn("sr", F.when(F.col("sr").isNotNull(), F.col("mean") / F.col("std")))
+    moved = moved.withColumn("psr0", psr(F.col("sr"), F.lit(0.0), F.col("effective_t"), F.col("skew"), F.col("kurt"))).drop("round_trip_cost")
+    return moved.unionByName(scores.filter(F.col("venue") != ANY_VENUE))
+
+
+def headline(series: DataFrame, venues: Sequence[dict] | None = None) -> DataFrame:
     """Significance per cell from `headline_series`: median over all phases, lumpy and even interval
     series, and the smaller of median and lumpy as the deciding number. All series are scored in one pass;
     store the series first, since scoring reads it twice."""
-    scores = score_series(series, [*CELL, "kind"])
+    scores = venue_scores(score_series(series, [*CELL, "kind"]), venues)
     phase = (F.col("n") >= 2) & ~F.col("kind").isin("lumpy", "amortised")
 
     def pick(kind: str, c: str) -> Column:
@@ -210,9 +257,15 @@ def long_enough(obs: DataFrame, gross_trades: DataFrame) -> DataFrame:
     return gross_trades.join(sizes, "symbol").filter("_n > 2 * horizon").drop("_n")
 
 
-def cost_surface(priced: DataFrame, series: DataFrame) -> DataFrame:
-    """Early gate and headline for every venue, horizon and capital multiple of every symbol."""
-    return early_gate(priced).join(headline(series).drop("n_trades"), list(CELL))
+def cost_surface(financed: DataFrame, series: DataFrame, venues: Sequence[dict] | None = None) -> DataFrame:
+    """Early gate and headline for every venue, horizon and capital multiple of every symbol.
+
+    Medians are taken before venues come in: `financed` has each trade once per capital multiple.
+    """
+    venues = venues or costs.venue_rows()
+    medians = _medians(financed.withColumn("round_trip_cost", F.lit(0.0)), ["symbol", "capital_multiple", "horizon"]).drop("round_trip_cost")
+    gate = _gated(with_grid(medians, [{k: v[k] for k in ("venue", "tradeable", "round_trip_cost")} for v in venues]))
+    return gate.join(headline(series, venues).drop("n_trades"), list(CELL))
 
 
 def killed(surface: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

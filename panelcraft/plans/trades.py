@@ -177,7 +177,7 @@ _HEAD = ("median", "min", "max", "lumpy", "amortised", "kill")
 SELECT symbol, venue, capital_multiple, horizon, n_trades, effective_t, {', '.join(f'round({c}, 5) AS {c}' for c in _HEAD)}, coalesce(kill >= 0.95, false) AS passes FROM headlines""")
 def scr12(spark, sf):
     o = stage(obs(spark, sf), "observations")
-    out = C.headline(stage(C.headline_series(o, C.with_costs(C.trades(o, HORIZONS)), HORIZONS), "series"))
+    out = C.headline(stage(C.headline_series(o, C.with_financing(C.trades(o, HORIZONS)), HORIZONS), "series"))
     return round_to(out.select(*C.CELL, "n_trades", "effective_t", *_HEAD, "passes"), 5, *_HEAD)
 
 
@@ -188,7 +188,7 @@ FROM headlines h JOIN early_gate e ON e.symbol = h.symbol AND e.venue = h.venue
 JOIN (SELECT symbol, count(*) AS n FROM obs GROUP BY 1) s ON s.symbol = h.symbol AND n > 2 * h.horizon GROUP BY 1""")
 def scr13(spark, sf):
     o = stage(obs(spark, sf), "observations")
-    gate = C.with_costs(C.long_enough(o, C.trades(o, HORIZONS)))
+    gate = C.with_financing(C.long_enough(o, C.trades(o, HORIZONS)))
     surface = stage(C.cost_surface(gate, stage(C.headline_series(o, gate, HORIZONS), "series")), "surface")
     best = surface.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_cells"), F.round(F.max("headroom"), 9).alias("best_headroom"), F.round(F.max("kill"), 5).alias("best_kill")

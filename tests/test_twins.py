@@ -441,3 +441,19 @@ def test_stream_keeps_open_windows(spark, tmp_path):
     assert {r["instrument"]: r["ingest"] for r in windows.collect()} == {"a": 3, "b": 4}
     for at, want in (("2024-01-01 10:45:00", {"a": 2, "b": 4}), ("2024-01-01 11:00:00", {"a": 3, "b": 4}), ("2024-01-01 10:07:00", {"a": 1})):
         assert {r["instrument"]: r["ingest"] for r in J.latest_as_of(windows, quotes, at).collect()} == want
+
+
+def test_path_products_equal_laid_out_paths(spark):
+    from panelcraft.operators import bootstrap as B
+
+    rng = np.random.default_rng(12)
+    values = {"a": rng.normal(size=60), "b": rng.normal(size=9), "c": rng.normal(size=2)}
+    series = spark.createDataFrame([(k, i, float(x)) for k, v in values.items() for i, x in enumerate(v)], "series_id string, idx long, ret double")
+    weights = series.select("series_id", "idx", (F.col("idx") * F.col("idx") + 0.5).alias("w"))  # an uneven calendar
+    for expected in (1.0, 5.0, 80.0):
+        blocks = spark.createDataFrame([(k, expected) for k in values], "series_id string, block double")
+        laid = B.resample(series, 40, blocks, 3).join(weights.withColumnRenamed("idx", "pos"), ["series_id", "pos"])
+        want = laid.groupBy("series_id", "path").agg(F.sum(F.col("ret") * F.col("w")).alias("v")).toPandas().set_index(["series_id", "path"])["v"].sort_index()
+        got = B.path_products(series, weights, 40, blocks, 3).toPandas().set_index(["series_id", "path"])["value"].sort_index()
+        assert len(got) == 120 and (got.index == want.index).all()
+        np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-9, atol=1e-9)
