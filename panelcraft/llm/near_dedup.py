@@ -190,8 +190,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     written copy, and the smallest id of a component is looked up at the end (null where all its ids are). Other
     columns are not looked at.
     """
-    ids = docs.groupBy(F.col(id_col).cast("long").alias("i")).count().agg(F.max("count"), F.count_if(F.col("i").isNull())).first()
-    if (ids[0] or 0) <= 1 and not ids[1]:
+    if _tells_rows_apart(docs, id_col):
         return _of_unique(docs, id_col, text_col, width, percent, n_hashes)
     scratch = Scratch(docs.sparkSession, "near_rows")
     rows = scratch.save(docs.select(
@@ -203,6 +202,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _tells_rows_apart(docs: DataFrame, id_col: str) -> bool:
+    """Whether no id is null and none repeats."""
+    most, none = docs.groupBy(F.col(id_col).cast("long").alias("i")).count().agg(F.max("count"), F.count_if(F.col("i").isNull())).first()
+    return (most or 0) <= 1 and not none
+
+
 def _of_unique(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, n_hashes: int) -> DataFrame:
     """``near_dedup`` where no id is null and none repeats."""
     spark, rows = docs.sparkSession, band_rows(percent, n_hashes)
@@ -280,9 +285,12 @@ def _components_of_sets(texts: DataFrame, sketch: DataFrame, classes: DataFrame,
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each near-duplicate group, columns unchanged.
 
-    Rows are numbered in a written copy, so rows that share an id or have none are told apart. Of each group the row with
-    the smallest id stays, null ids last, the earlier row of equal ids.
+    Of each group the row with the smallest id stays, null ids last, the earlier row of equal ids. Where ids are null or
+    repeat, the rows are numbered in a written copy, so that they are told apart.
     """
+    if _tells_rows_apart(docs, "doc_id"):
+        gone = _of_unique(docs, "doc_id", "text", 5, 80, N_HASHES).where(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
     scratch = Scratch(spark, "near_stage")
     rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns(docs)).alias("doc")), "rows")
     texts = rows.select("row", F.col("doc")["text"].alias("text"))
