@@ -178,6 +178,12 @@ def snap_collisions(events: DataFrame, keys: Sequence[str], interval_hours: int)
     )
 
 
+def clean_events(events: DataFrame, keys: Sequence[str], interval_hours: int) -> DataFrame:
+    """The events that have a grid point to themselves; `snap_collisions` shows the others."""
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*keys, snap(F.col("ts"), interval_hours))) == 1
+    return events.withColumn("_alone", alone).filter("_alone").drop("_alone")
+
+
 def venue_delta(
     left: DataFrame, right: DataFrame, keys: Sequence[str], interval_hours: int = 8, strict: bool = True
 ) -> DataFrame:

@@ -10,11 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import HOURS_PER_YEAR
-from ..functions.normal import psr
 from ..functions.windows import over, uniform, with_grid
 from . import costs
 from .returns import additive_drawdown
-from .scoring import score_series
+from .scoring import moved_scores, score_series
 
 CELL = ("symbol", "venue", "capital_multiple", "horizon")
 PASS_LEVEL = 0.95
@@ -89,6 +88,12 @@ def random_entries(priced: DataFrame, count: Column | int, seed: int, keys: Sequ
     return ranked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count).drop("_draw", "_n")
 
 
+def short_schedules(priced: DataFrame, count: int, keys: Sequence[str] = ("symbol", "horizon")) -> DataFrame:
+    """Keys that have fewer entries than a schedule of `count` asks for, and how many are missing."""
+    sizes = priced.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_entries")).filter(F.col("n_entries") < count)
+    return sizes.withColumn("n_missing", F.lit(count) - F.col("n_entries"))
+
+
 def interval_series(obs: DataFrame, priced: DataFrame, horizons: Sequence[int], amortise: bool) -> DataFrame:
     """Per-settlement results of the phase-0 trades laid end to end, as (cell keys, idx, ret).
 
@@ -223,8 +228,7 @@ def venue_scores(scores: DataFrame, venues: Sequence[dict] | None = None) -> Dat
     skewness and kurtosis are those of the shared series, and the Sharpe ratio is moved in closed form."""
     shared = with_grid(scores.filter(F.col("venue") == ANY_VENUE).drop("venue"), [{k: v[k] for k in ("venue", "round_trip_cost")} for v in venues or costs.venue_rows()])
     cost = F.when(F.col("kind") == "amortised", F.col("round_trip_cost") / F.col("horizon")).otherwise(F.col("round_trip_cost"))
-    moved = shared.withColumn("mean", F.col("mean") - cost).withColumn("sr", F.when(F.col("sr").isNotNull(), F.col("mean") / F.col("std")))
-    moved = moved.withColumn("psr0", psr(F.col("sr"), F.lit(0.0), F.col("effective_t"), F.col("skew"), F.col("kurt"))).drop("round_trip_cost")
+    moved = moved_scores(shared, cost).drop("round_trip_cost")
     return moved.unionByName(scores.filter(F.col("venue") != ANY_VENUE))
 
 

@@ -66,7 +66,10 @@ def horizon_spans(labelled: DataFrame, horizon: int, keys: Sequence[str], interv
 
 
 def _borders(labels: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
-    """Per series: length and the first and last instant and position of each fold, as k-element arrays."""
+    """Per series: length and the first and last instant and position of each fold, as k-element arrays.
+
+    A series with fewer rows than folds raises; `short_series` lists them.
+    """
     sizes = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     fold = fold_of(F.col("idx"), F.col("n"), k)
     per_fold = (
@@ -74,7 +77,14 @@ def _borders(labels: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
         .agg(F.min("dt").alias("first"), F.max("dt").alias("last"), F.max("idx").alias("end"))
     )
     ordered = F.array_sort(F.collect_list(F.struct("_fold", "first", "last", "end")))
-    return per_fold.groupBy(*keys, "n").agg(ordered.alias("_borders")).filter(F.col("n") >= k)
+    short = F.raise_error(F.concat(F.lit(f"fewer than {k} rows in series "), F.concat_ws("/", *[F.col(c).cast("string") for c in keys])))
+    checked = F.when(F.col("n") >= k, F.col("n")).otherwise(short.cast("bigint"))
+    return per_fold.groupBy(*keys, "n").agg(ordered.alias("_borders")).withColumn("n", checked)
+
+
+def short_series(series: DataFrame, k: int, keys: Sequence[str] = KEY) -> DataFrame:
+    """Series with fewer rows than folds, which cannot be split: id and length."""
+    return series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k)
 
 
 def _with_roles(
@@ -144,7 +154,8 @@ def split_paths(series: DataFrame, n_groups: int = 6, k_test: int = 2, keys: Seq
 def test_series(series: DataFrame, n_groups: int = 6, k_test: int = 2, keys: Sequence[str] = KEY) -> DataFrame:
     """The test rows of every combinatorial split, joined end to end and renumbered, keyed by split.
 
-    The new position is arithmetic on group borders, so no sort is needed.
+    The new position is arithmetic on group borders, so no sort is needed. Series with fewer rows than groups have no
+    split (`short_series` lists them).
     """
     combos = list(combinations(range(n_groups), k_test))
     sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n_groups)

@@ -127,6 +127,15 @@ def score_series(series: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return scored.withColumn("psr0", psr(F.col("sr"), zero, F.col("effective_t"), F.col("skew"), F.col("kurt")))
 
 
+def moved_scores(scores: DataFrame, cost: Column) -> DataFrame:
+    """Scores of the same series with a constant cost taken from every row.
+
+    The mean alone moves: deviation, block length, skewness and kurtosis stay, so nothing is scored again.
+    """
+    out = scores.withColumn("mean", F.col("mean") - cost).withColumn("sr", F.when(F.col("sr").isNotNull(), F.col("mean") / F.col("std")))
+    return out.withColumn("psr0", psr(F.col("sr"), F.lit(0.0), F.col("effective_t"), F.col("skew"), F.col("kurt")))
+
+
 def trial_variance(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number of variants and sample variance of their Sharpe ratios (zero for a single one)."""
     return scores.groupBy(*keys).agg(

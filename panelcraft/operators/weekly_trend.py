@@ -141,15 +141,34 @@ def daily_marks(filled: DataFrame, weeks: DataFrame, bars: DataFrame, strict: bo
     return fill.unionByName(marks).unionByName(leave)
 
 
-def buy_and_hold(bars: DataFrame, start: str, end: str, n_symbols: int) -> DataFrame:
+def missing_closes(filled: DataFrame, bars: DataFrame) -> DataFrame:
+    """Days of a holding week on which a symbol of the book has no close: what makes strict daily marks fail."""
+    days = filled.select("signal_date", "symbol", F.explode(F.sequence("fill_date", F.date_sub("exit_date", 1))).alias("date"))
+    return days.join(bars.filter("close IS NOT NULL").select("symbol", "date"), ["symbol", "date"], "left_anti")
+
+
+def missing_starts(bars: DataFrame, start: str, end: str) -> DataFrame:
+    """Symbols that trade between two days but have no open on the first, and the first day they have one."""
+    first = F.lit(start).cast("date")
+    inside = bars.filter(F.col("date").between(first, F.lit(end).cast("date")) & F.col("open").isNotNull())
+    return inside.groupBy("symbol").agg(F.min("date").alias("first_open")).filter(F.col("first_open") > first)
+
+
+def buy_and_hold(bars: DataFrame, start: str, end: str, n_symbols: int, strict: bool = True) -> DataFrame:
     """Equal-weight path from the opens of one day to the opens of another, marked at daily closes.
 
-    A symbol without a close on a day is left out of that day's value; `n_marked` tells how many were in.
+    A symbol without a close on a day is left out of that day's value; `n_marked` tells how many were in. Fewer than
+    `n_symbols` opens on the first day raise; if not strict, the symbols without one are held as nothing.
     """
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    base = bars.filter(F.col("date") == first).select("symbol", F.col("open").alias("_base"))
+    base = bars.filter((F.col("date") == first) & F.col("open").isNotNull()).select("symbol", F.col("open").alias("_base"))
     window = bars.filter(F.col("date").between(first, last)).join(base, "symbol")
     price = F.when(F.col("date") == last, F.col("open")).otherwise(F.col("close"))
-    return window.groupBy("date").agg(
+    out = window.groupBy("date").agg(
         F.sum(price / F.col("_base") / n_symbols).alias("equity"), F.count(F.lit(1)).alias("n_marked")
     )
+    if strict:
+        opened = base.agg(F.count(F.lit(1))).scalar()
+        fault = F.raise_error(F.lit(f"fewer than {n_symbols} opens on {start}")).cast("double")
+        out = out.withColumn("equity", F.when(opened == n_symbols, F.col("equity")).otherwise(fault))
+    return out

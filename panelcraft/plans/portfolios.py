@@ -13,7 +13,7 @@ from ..operators import returns as R
 from ..operators import scoring as S
 from ..operators import volmanaged as VM
 from ..operators import weekly_trend as WT
-from .inputs import asset_ret, bars_strict, factors, macro_panel, rate_curve, round_to, tilt_base, tilt_panel
+from .inputs import asset_ret, bars, bars_strict, factors, macro_panel, rate_curve, round_to, tilt_base, tilt_panel
 from .registry import cte, query
 from .sqltext import max_sharpe, psr_of, score_ctes
 from .stage import stage
@@ -595,6 +595,15 @@ def pnl14_drawdown(spark, sf):
     return round_to(R.max_drawdown(path, "equity", ["signal_date", "date", "ord"]).drop("series_id"), 8, "max_drawdown")
 
 
+@query("pnl14_missing_closes", """
+SELECT signal_date, f.symbol, f.date FROM (SELECT *, unnest([fill_date + i::INTEGER for i in range(0, 7)]) AS date FROM week_fill) f
+ANTI JOIN bars_strict b ON b.symbol = f.symbol AND b.date = f.date""")
+def pnl14_missing(spark, sf):
+    """The days on which strict daily marks fail."""
+    bars, filled, _ = week_tables(spark, sf)
+    return WT.missing_closes(filled, bars).select("signal_date", "symbol", "date")
+
+
 cte("trend_span", "SELECT min(date) AS a, max(date) AS z FROM (SELECT date FROM bars_strict GROUP BY 1 HAVING count(*) = 3)")
 
 
@@ -609,6 +618,15 @@ def pnl15(spark, sf):
     return round_to(WT.buy_and_hold(bars, first, last, 3), 8, "equity")
 
 
+@query("pnl15_missing_starts", """
+SELECT symbol, min(date) AS first_open FROM (SELECT replace(symbol, '#', '') AS symbol, date FROM bars, (SELECT min(date) AS a FROM bars) WHERE date >= a) GROUP BY 1 HAVING min(date) > (SELECT min(date) FROM bars)""")
+def pnl15_missing(spark, sf):
+    """Symbols that a strict path from the first day on refuses, since they have no open on it."""
+    rows = stage(bars(spark, sf).withColumn("symbol", F.replace("symbol", F.lit("#"), F.lit(""))), "bars")
+    first, last = rows.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return WT.missing_starts(rows, first, last)
+
+
 cte("week_series", "SELECT 'trend/' || grp AS series_id, row_number() OVER (PARTITION BY grp ORDER BY signal_date) - 1 AS idx, ret FROM (SELECT signal_date, net_return AS ret, unnest([0]) AS grp FROM week_result)")
 score_ctes("weekt", "week_series")
 
