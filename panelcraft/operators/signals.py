@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.windows import average_rank, over, with_grid
+from ..functions.windows import all_of, average_rank, over, with_grid
+from ..staging import stage
 from .features import SIGNALS
 
 # Penalty path and selection settings.
@@ -233,7 +234,7 @@ def cross_sectional_forecasts(
     frame: DataFrame, window: int = 52, n_buckets: int = 5, signals: Sequence[str] = SIGNALS
 ) -> DataFrame:
     """From weekly signals to bucketed scores: rank, regress, smooth, forecast, select, combine, bucket."""
-    ranked = rank_map(long_signals(frame, signals))
+    ranked = stage(rank_map(long_signals(frame, signals)), "ranked")  # the regressions and the forecasts read it
     long = forecasts(ranked, smooth_coefficients(weekly_regressions(ranked), window))
     selected = select_signals(pooled_moments(complete_cases(long, signals), window, len(signals)), signals)
     return assign_buckets(combine(long, selected), n_buckets)
@@ -287,12 +288,14 @@ def bucket_portfolios(
     """Weekly return, turnover and cost of every portfolio variant in one job.
 
     A missing forward return is a total loss, or its name is dropped before weighting. Turnover is
-    measured against the weights of the last scored week, without the names that lost their data.
+    measured against the weights of the last scored week, without the names that lost their data. Execution
+    changes the cost alone, so books are formed without it.
     """
-    keys = [*VARIANT, "one_side_cost"]
+    keys = [c for c in VARIANT if c != "execution"]
+    books = list({tuple(v[k] for k in keys): {k: v[k] for k in keys} for v in variants}.values())
     top, missing = F.col("bucket") == n_buckets - 1, F.col("forward_return").isNull()
     short = F.col("portfolio") == "long_short_top_minus_bottom"
-    rows = with_grid(bucketed.select("week_end", "symbol", "bucket", "forward_return"), variants)
+    rows = with_grid(bucketed.select("week_end", "symbol", "bucket", "forward_return"), books)
     rows = rows.filter(top | (short & (F.col("bucket") == 0))).filter(~(missing & (F.col("missing_policy") == "drop_and_renormalize")))
     week = Window.partitionBy(*keys, "week_end")
     rows = rows.withColumns({
@@ -310,5 +313,7 @@ def bucket_portfolios(
         F.sum(F.col("weight") * F.coalesce("forward_return", F.lit(missing_loss))).alias("gross_return"),
         F.count_if(top).alias("n_long"), F.count_if(~top).alias("n_short"), F.count_if(missing).alias("n_missing"),
     )
-    out = gross.join(turnover, [*keys, "_no"]).withColumn("cost", F.col("turnover") * F.col("one_side_cost"))
-    return out.withColumn("net_return", F.col("gross_return") - F.col("cost")).withColumnRenamed("_no", "week_no").drop("one_side_cost")
+    priced = F.array(*[F.struct(*[F.lit(v[k]).alias(k) for k in (*VARIANT, "one_side_cost")]) for v in variants])
+    own = F.filter(priced, lambda v: all_of([v[k] == F.col(k) for k in keys]))
+    out = gross.join(turnover, [*keys, "_no"]).withColumn("_v", F.explode(own)).withColumns({"execution": F.col("_v.execution"), "cost": F.col("turnover") * F.col("_v.one_side_cost")})
+    return out.withColumn("net_return", F.col("gross_return") - F.col("cost")).withColumnRenamed("_no", "week_no").drop("_v")

@@ -114,7 +114,8 @@ def sector_daily(spark, sf):
     days = stage(month_days(spark, sf), "assets")
     signals = PF.month_signals(days, [v["sma_months"] for v in SECTORS])
     targets = stage(PF.targets(signals, SECTORS), "targets")
-    return PF.simulate(days, macro_panel(spark, sf), targets, SECTOR_EXPENSE)
+    cash = stage(macro_panel(spark, sf).select("date", "cash_ret"), "cash")
+    return PF.simulate(days, cash, targets, SECTOR_EXPENSE)
 
 
 @query("top01_strongest_assets", "SELECT variant, month_no, asset, round(target, 8) AS target FROM sector_target")
