@@ -15,6 +15,8 @@ from .features import SIGNALS
 # Penalty path and selection settings.
 N_PENALTIES, PATH_RATIO, SELECTED_ABOVE, L1_RATIO = 50, 1e-3, 1e-8, 0.5
 MAX_STEPS, SLACK = 1_000, 1e-9
+#: Deviation, as part of the root mean square, below which a column counts as constant.
+FLAT = 1e-12
 
 
 def long_signals(frame: DataFrame, signals: Sequence[str] = SIGNALS) -> DataFrame:
@@ -158,34 +160,46 @@ def _sparse_minimum(h: np.ndarray, xy: np.ndarray, l1: float, w: np.ndarray) ->
     return w
 
 
-def elastic_net_selection(n: float, gram: np.ndarray, xy: np.ndarray, yy: float, l1_ratio: float = L1_RATIO) -> np.ndarray:
-    """Positive-weight columns of the information-criterion-best point of an elastic-net path.
+def elastic_net_path(n: float, gram: np.ndarray, xy: np.ndarray, yy: float, l1_ratio: float = L1_RATIO) -> tuple[int, list[float], float, np.ndarray]:
+    """The information-criterion-best point of an elastic-net path: its number, every point's criterion, its penalty and weights.
 
     Works on sums of products of centred, scaled columns. The path runs over falling penalties with warm
     starts; its point is chosen by the small-sample Akaike criterion with two parameters besides the
-    non-zero weights.
+    non-zero weights. Without a column that moves with the target there is no path: number -1, weights 0.
     """
     p = len(xy)
     top = np.max(np.abs(xy)) / (n * l1_ratio)
-    if not np.isfinite(top) or top <= 0:
-        return np.zeros(p, dtype=bool)
     w = np.zeros(p)
-    best, chosen = np.inf, w
-    for penalty in np.geomspace(top, top * PATH_RATIO, N_PENALTIES):
+    if not np.isfinite(top) or top <= 0:
+        return -1, [], 0.0, w
+    best, chosen, scores = np.inf, (-1, 0.0, w), []
+    for i, penalty in enumerate(np.geomspace(top, top * PATH_RATIO, N_PENALTIES)):
         ridge = penalty * (1.0 - l1_ratio) * n
         w = _sparse_minimum(gram + ridge * np.eye(p), xy, penalty * l1_ratio * n, w)
         rss = yy - 2.0 * xy @ w + w @ gram @ w
         k = int(np.count_nonzero(np.abs(w) > SELECTED_ABOVE)) + 2
-        if n - k - 1 <= 0:
-            continue
-        score = -np.inf if rss <= 0 else n * np.log(rss / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+        score = np.inf
+        if n - k - 1 > 0:
+            score = -np.inf if rss <= 0 else n * np.log(rss / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+        scores.append(float(score))
         if score < best:
-            best, chosen = score, w
-    return chosen > SELECTED_ABOVE
+            best, chosen = score, (i, float(penalty), w)
+    return chosen[0], scores, chosen[1], chosen[2]
+
+
+def elastic_net_selection(n: float, gram: np.ndarray, xy: np.ndarray, yy: float, l1_ratio: float = L1_RATIO) -> np.ndarray:
+    """Positive-weight columns of the chosen point of `elastic_net_path`."""
+    return elastic_net_path(n, gram, xy, yy, l1_ratio)[3] > SELECTED_ABOVE
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _select(sums: pd.Series) -> pd.Series:
+_PATH = T.StructType([
+    T.StructField("point", T.IntegerType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("penalty", T.DoubleType()),
+    T.StructField("weights", T.ArrayType(T.DoubleType())),
+])
+
+
+@F.pandas_udf(_PATH)
+def _solved(sums: pd.Series) -> pd.DataFrame:
     out = []
     for flat in sums:
         size = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
@@ -196,16 +210,63 @@ def _select(sums: pd.Series) -> pd.Series:
         centred = full[1:, 1:] - np.outer(total, total) / n
         gram, xy, yy = centred[:-1, :-1], centred[:-1, -1], centred[-1, -1]
         spread = np.sqrt(np.clip(np.diag(gram), 0, None) / n)
-        spread[spread < 1e-12 * np.sqrt(np.diag(full)[1:-1] / n)] = 1.0
-        out.append(elastic_net_selection(n, gram / np.outer(spread, spread), xy / spread, yy))
-    return pd.Series(out)
+        spread[spread < FLAT * np.sqrt(np.diag(full)[1:-1] / n)] = 1.0
+        out.append(elastic_net_path(n, gram / np.outer(spread, spread), xy / spread, yy))
+    return pd.DataFrame(out, columns=["point", "scores", "penalty", "weights"])
+
+
+def solve_paths(pooled: DataFrame) -> DataFrame:
+    """Every week's product sums with the chosen point of its path (`path`)."""
+    return pooled.withColumn("path", _solved("sums"))
 
 
 def select_signals(pooled: DataFrame, signals: Sequence[str] = SIGNALS) -> DataFrame:
     """The signals kept in each week, one row per kept signal."""
     names = F.array(*[F.lit(s) for s in signals])
-    kept = pooled.select("week_end", F.explode(F.arrays_zip(names.alias("signal"), _select("sums").alias("kept"))).alias("_s"))
-    return kept.filter("_s.kept").select("week_end", F.col("_s.signal").alias("signal"))
+    kept = solve_paths(pooled).select("week_end", F.explode(F.arrays_zip(names.alias("signal"), F.col("path.weights").alias("weight"))).alias("_s"))
+    return kept.filter(F.col("_s.weight") > SELECTED_ABOVE).select("week_end", F.col("_s.signal").alias("signal"))
+
+
+def certify_paths(solved: DataFrame, n_signals: int = len(SIGNALS), l1_ratio: float = L1_RATIO, slack: float = 1e-6) -> DataFrame:
+    """Checks each week's chosen point against the product sums, without the solver: rows (week_end, pool_rows, n_points,
+    optimal, best).
+
+    At the minimum the slope of every weight that is not 0 equals the penalty with the opposite sign, and no other slope
+    exceeds it (`optimal`, to a part `slack` of the penalty). The criterion worked out from the sums is the one stated for
+    the point, and the smallest of the path (`best`).
+    """
+    size, places = n_signals + 2, F.sequence(F.lit(1), F.lit(n_signals))
+
+    def raw(i: Column, j: Column) -> Column:
+        a, b = F.least(i, j), F.greatest(i, j)
+        return F.get("sums", (a * size - F.floor(a * (a - 1) / 2) + b - a).cast("int"))
+
+    n = F.get("sums", 0)
+
+    def centred(i: Column, j: Column) -> Column:
+        return raw(i, j) - raw(F.lit(0), i) * raw(F.lit(0), j) / n
+
+    def spread(i: Column) -> Column:
+        own = F.sqrt(F.greatest(centred(i, i), F.lit(0.0)) / n)
+        return F.when(own < FLAT * F.sqrt(raw(i, i) / n), 1.0).otherwise(own)
+
+    rows = solved.select("week_end", "sums", "path", F.transform(places, spread).alias("s"))
+    y = F.lit(n_signals + 1)
+    rows = rows.withColumns({
+        "xy": F.transform(places, lambda i: centred(i, y) / F.get("s", i - 1)),
+        "gw": F.transform(places, lambda i: F.aggregate(places, F.lit(0.0), lambda acc, k: acc + centred(i, k) / (F.get("s", i - 1) * F.get("s", k - 1)) * F.get("path.weights", k - 1))),
+        "l1": F.col("path.penalty") * l1_ratio * n, "ridge": F.col("path.penalty") * (1.0 - l1_ratio) * n,
+    })
+    w = lambda i: F.get("path.weights", i - 1)
+    slope = lambda i: F.get("gw", i - 1) + F.col("ridge") * w(i) - F.get("xy", i - 1)
+    off = F.transform(places, lambda i: F.when(w(i) != 0, F.abs(slope(i) + F.col("l1") * F.signum(w(i)))).otherwise(F.greatest(F.abs(slope(i)) - F.col("l1"), F.lit(0.0))))
+    total = lambda f: F.aggregate(places, F.lit(0.0), lambda acc, i: acc + f(i))
+    rss = centred(y, y) - 2.0 * total(lambda i: F.get("xy", i - 1) * w(i)) + total(lambda i: F.get("gw", i - 1) * w(i))
+    k = F.size(F.filter("path.weights", lambda x: F.abs(x) > SELECTED_ABOVE)) + 2
+    score = n * F.ln(rss / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+    stated = F.get("path.scores", F.col("path.point"))
+    best = (F.col("path.point") < 0) | ((F.abs(score - stated) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(stated))) & (stated == F.array_min("path.scores")))
+    return rows.select("week_end", n.alias("pool_rows"), F.size("path.scores").alias("n_points"), (F.array_max(off) <= slack * F.col("l1")).alias("optimal"), best.alias("best"))
 
 
 def combine(long: DataFrame, selected: DataFrame | None = None) -> DataFrame:

