@@ -7,9 +7,10 @@
    ``|x & y| <= |x| - own(x)`` and ``|x | y| >= |y| + own(x)`` for every y.
 4. Each band bucket compares its members with one pivot (star, not all pairs). Signatures, then full sets,
    confirm links. Components are taken.
-5. Buckets whose members are then in several components compare each member outside the pivot's component with
-   the members of other components, so no link between components is missed. Large buckets are dealt out in
-   blocks of bounded size; a task compares two blocks and returns the links it finds, not the pairs.
+5. Buckets whose members are then in several components compare each member outside the pivot's component (a stray)
+   with the members of other components, so no link between components is missed. Large buckets are dealt out in
+   blocks of bounded size; a task compares a block of strays with a block of members and returns the links it
+   finds, not the pairs. With few strays each member is dealt once.
 
 No bucket is collected, capped or paired with itself as a whole; a near-clique costs one pair per member.
 """
@@ -122,20 +123,19 @@ def least_agreement(percent: int, n_hashes: int) -> float:
 
 
 def _compare(group: pa.Table, percent: int, n_hashes: int) -> pa.Table:
-    """Links between two blocks of a bucket (or inside one), where the components differ and one side strays.
+    """Links between a block of a bucket's strays (the rows that ask) and a block of its members, where the components differ.
 
-    A pair that shares several buckets is compared in the first of them only.
+    A pair that shares several buckets is compared in the first of them only, two strays in one of their two groups.
     """
     least = least_agreement(percent, n_hashes)
-    key, chunk, stray = group["key"][0].as_py(), group["chunk"].to_numpy(), group["stray"].to_numpy()
+    key, asks, stray = group["key"][0].as_py(), group["asks"].to_numpy(), group["stray"].to_numpy()
     ids, comp, n, own = (group[c].to_numpy() for c in ("id", "comp", "n", "own"))
     marks = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(len(ids), -1)
     bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(len(ids), -1)
     sets = [x.values.to_numpy() for x in group["shingles"]]
-    own_block = group["a"][0].as_py() == group["b"][0].as_py()
     u, v = [], []
-    for x in np.flatnonzero(stray):
-        fits = (comp != comp[x]) & ((ids < ids[x]) | ~stray) & (own_block | (chunk != chunk[x]))
+    for x in np.flatnonzero(asks):
+        fits = ~asks & (comp != comp[x]) & ((ids < ids[x]) | ~stray)
         fits &= 100 * np.minimum(n - own, n[x] - own[x]) >= percent * np.maximum(n + own[x], n[x] + own)
         at = np.flatnonzero(fits)
         at = at[bands[at, (bands[at] == bands[x]).argmax(axis=1)] == key]
@@ -260,7 +260,7 @@ def _components_of_sets(texts: DataFrame, sketch: DataFrame, classes: DataFrame,
     main = pivots.join(node, pivots["pid"] == node["node"], "left").select("key", "pid", F.coalesce("component", "pid").alias("main"))
     main = scratch.save(main, "main")
     member = scratch.save(member.join(main, "key").withColumn("stray", F.col("comp") != F.col("main")), "told")
-    open_ = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("stray").alias("split")).where("split").select("key", "c")
+    open_ = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.count_if("stray").alias("strays")).where("strays > 0")
     open_ = scratch.save(open_, "open")
 
     small = scratch.save(member.join(open_.where(F.col("c") <= SMALL_BUCKET).select("key"), "key"), "small")
@@ -272,10 +272,14 @@ def _components_of_sets(texts: DataFrame, sketch: DataFrame, classes: DataFrame,
     cross = cross.select(F.greatest("id", "x").alias("u"), F.least("id", "x").alias("v")).distinct()
     second = scratch.save(_links(cross, sets, percent, n_hashes), "cross")
 
-    large = member.join(open_.where(F.col("c") > SMALL_BUCKET), "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int"))
-    large = large.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = large.select("key", "id", "n", "own", "comp", "stray", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    dealt = dealt.select("*", F.least("chunk", "j").alias("a"), F.greatest("chunk", "j").alias("b")).drop("j")
+    # blocks of members against blocks of strays: a stray goes to every member block, a member only to as many as strays fill
+    large = member.join(open_.where(F.col("c") > SMALL_BUCKET), "key")
+    large = large.withColumns({"_m": F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int"), "_s": F.ceil(F.col("strays") / BLOCK_MEMBERS).cast("int")})
+    own = {"a": F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"), "b": F.pmod(F.xxhash64("id", F.lit(1)), F.col("_s")).cast("int")}
+    every = {"a": F.explode(F.sequence(F.lit(0), F.col("_m") - 1)), "b": F.explode(F.sequence(F.lit(0), F.col("_s") - 1))}
+    fields = ["key", "id", "n", "own", "comp", "stray"]
+    met = large.select(*fields, own["a"].alias("a"), every["b"].alias("b"), F.lit(False).alias("asks"))
+    dealt = met.union(large.where("stray").select(*fields, every["a"].alias("a"), own["b"].alias("b"), F.lit(True).alias("asks")))
     third = dealt.join(sets, "id").groupBy("key", "a", "b").applyInArrow(
         lambda group: _compare(group, percent, n_hashes), "u long, v long")
     second = second.union(scratch.save(third, "blocks"))
