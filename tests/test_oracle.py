@@ -13,7 +13,9 @@ SF = f"{DATA}/sf0.001"
 QUICK = (
     "prj03_symbol_screen", "agg02_weekly_panel", "agg03_settled_events", "win09_liquid_universe", "jn01_asof_observations",
     "jn02_carried_grid", "val03_interval_mislabels", "win03_recursive_averages", "scr17_combinatorial_splits", "pnl06_option_trades",
-    "pnl21_bond_returns", "src10_settled_pages", "str02_settled_stream",
+    "pnl21_bond_returns", "src10_settled_pages", "str02_settled_stream", "agg04_price_frame", "jn03_venue_delta", "src01_funding_archives",
+    "src07_two_sections", "src08_rate_years", "src12_content_fingerprint", "src13_file_audit", "scr12_headline_score", "scr22_tilt_family",
+    "scr23_tilt_expense", "scr26_trend_gate", "top04_short_schedules",
 )
 
 

@@ -69,7 +69,7 @@ def test_affine_scan(n, first):
     for i, v in enumerate(x):
         y = v if first and i == 0 else 0.9 * y + 0.1 * v
         want.append(y)
-    np.testing.assert_allclose(J.affine_scan(x, 0.1, first, 3.5), want, rtol=1e-12)
+    np.testing.assert_allclose(J.affine_scan(x, 0.1, first, 3.5), want, rtol=1e-12, atol=1e-15)
 
 
 def slow_averages(close: list, span: int, period: int) -> list:
