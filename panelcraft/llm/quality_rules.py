@@ -18,7 +18,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Shortest repeat that counts, in words.
 LEAST_WORDS = 8
 #: Most words of a text, in percent, that repeats may cover, and the longest repeat allowed, in words. Of the labelled
-#: texts that repeat 20 words or more, none is of good quality; of those that repeat 8 to 19, nine in ten are.
+#: texts that repeat 20 words or more, none is of good quality; of those that repeat 8 to 19 and pass the base test, nine in ten are.
 MOST_COVERED_PERCENT, LONGEST_REPEAT = 30, 30
 #: Fewest words of a text.
 FEWEST_WORDS = 20
