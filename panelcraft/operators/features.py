@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..functions import ordered
 from ..functions.calendar import week_end
 from ..functions.ema import span, wilder, with_ema
 from ..functions.windows import over, rolling, trailing, when_full
@@ -101,15 +106,57 @@ def ranges(daily: DataFrame) -> DataFrame:
     return out.drop("_tp", "_mid", "_seen", "_spread", "_flow", "_sma", "_dev")
 
 
+def _recursive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, before, place = ordered.Keys(), ordered.Previous(), ordered.Place(OSCILLATOR)
+    lines = {
+        name: (c, *[ordered.Average(e.alpha, e.min_obs) for e in (span(c, FAST), span(c, SLOW), span(name, SIGNAL))])
+        for name, c in {"macd": "close", "volmacd": "dollar_volume"}.items()
+    }
+    gains, losses = (ordered.Average(e.alpha, e.min_obs) for e in (wilder("_gain", OSCILLATOR), wilder("_loss", OSCILLATOR)))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = keys.advance(batch.column("symbol"))
+        inputs = {c: ordered.Column.of(batch.column(c)) for c in ("close", "dollar_volume")}
+        made = {}
+        for name, (c, fast, slow, signal) in lines.items():
+            quick = fast.of(inputs[c], starts)
+            made[name] = (quick - slow.of(inputs[c], starts)).over(quick)
+            made[f"{name}_diff_signal"] = made[name] - signal.of(made[name], starts)
+        move = inputs["close"] - before.of(inputs["close"], starts)
+        up = gains.of(ordered.Column(np.maximum(move.value, 0.0), move.here), starts)
+        down = losses.of(ordered.Column(np.maximum(-move.value, 0.0), move.here), starts)
+        strength = up.over(down)  # 100 where there are no losses
+        made["rsi"] = ordered.Column(np.where(strength.here, 100.0 - 100.0 / (1.0 + strength.value), 100.0), up.here)
+        made["stochRSI"] = place.of(made["rsi"])
+        kept = [c for c in batch.schema.names if c not in inputs]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), *(x.arrow() for x in made.values())], names=[*kept, *made]
+        )
+
+
+def recursive_signals(rows: DataFrame) -> DataFrame:
+    """Replace close and dollar_volume by the six signals that rest on recursive averages.
+
+    Rows must be clustered by symbol and sorted by symbol and date within partitions. All averages, of all
+    symbols of a batch, come from one pass in that order; a symbol may span any number of batches, and only a few
+    numbers per average are held between them. NULL inputs are skipped.
+    """
+    names = ("macd", "macd_diff_signal", "volmacd", "volmacd_diff_signal", "rsi", "stochRSI")
+    kept = [f for f in rows.schema.fields if f.name not in ("close", "dollar_volume")]
+    return rows.mapInArrow(_recursive, T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in names)]))
+
+
 def daily_features(daily: DataFrame) -> DataFrame:
-    """All 28 signals per (symbol, date); one exchange by symbol carries every window.
+    """All 28 signals per (symbol, date): one exchange and one sort by symbol and date carry every window and recursion.
 
     The windows are heavy per byte, so the exchange keeps every configured partition instead of letting
     small ones be merged by size.
     """
     parts = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    daily = daily.repartition(parts, "symbol")
-    return ranges(relative_strength(oscillators(sma_ratios(daily)))).select("symbol", "date", *SIGNALS)
+    daily = daily.select("symbol", "date", "close", "high", "low", "dollar_volume").repartition(parts, "symbol")
+    done = ranges(sma_ratios(daily)).drop("high", "low").sortWithinPartitions("symbol", "date")
+    return recursive_signals(done).select("symbol", "date", *SIGNALS)
 
 
 def weekly_features(features: DataFrame) -> DataFrame:

@@ -101,6 +101,38 @@ def test_features_do_not_look_ahead(spark):
     assert cut["sma_200d"].notna().sum() == 41 and cut["macd_diff_signal"].notna().sum() == 240 - 33
 
 
+def test_ordered_pass_equals_windows(spark):
+    """Keys of 1 to 300 rows with gaps, a constant series, zero volume and infinite prices, in batches far shorter than a key."""
+    frames, rng = [], np.random.default_rng(5)
+    for k, n in enumerate((1, 14, 15, 40, 300, 33, 120)):
+        rows = sample_bars(300).head(n).assign(symbol=f"S{k}")
+        if k % 2:
+            rows.loc[rng.random(n) < 0.15, ["close", "dollar_volume"]] = np.nan
+        frames.append(rows)
+    frames[3]["close"], frames[6]["dollar_volume"] = 25.0, 0.0
+    frames[2].loc[13:, "close"] = np.inf
+    pdf = pd.concat(frames)
+    bars = spark.createDataFrame(pdf).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("close", "dollar_volume")})
+    names = ["macd", "macd_diff_signal", "volmacd", "volmacd_diff_signal", "rsi", "stochRSI"]
+    finite = bars.where("symbol <> 'S2'")
+    want = FT.relative_strength(FT.oscillators(finite)).select("symbol", "date", *names).orderBy("symbol", "date").toPandas()
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        got = FT.daily_features(bars).where("symbol <> 'S2'").select("symbol", "date", *names).orderBy("symbol", "date").toPandas()
+    finally:
+        spark.conf.set(setting, before)
+    assert want["rsi"].notna().sum() > 200 and (want["rsi"] == 100.0).any() and want["volmacd"].notna().any()
+    np.testing.assert_allclose(got[names].to_numpy(float), want[names].to_numpy(float), rtol=1e-8, atol=1e-11)
+    assert FT.daily_features(bars.limit(0)).count() == 0
+
+
+def test_daily_features_sort_once(spark):
+    plan = FT.daily_features(spark.createDataFrame(sample_bars(30)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Sort [") == 1 and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_universe_does_not_look_ahead(spark):
     frames = [sample_bars().assign(symbol=s, dollar_volume=lambda d, k=k: d["dollar_volume"] * (1 + k + np.sin(np.arange(len(d)) * (k + 1)))) for k, s in enumerate("ABCD")]
     pdf = pd.concat(frames)
