@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.calendar import week_end
 from ..functions.symbols import (
@@ -18,9 +18,18 @@ from ..functions.symbols import (
 from ..functions.windows import any_of, over, running, trailing
 
 
+_FIXED = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """One row per key, the one greatest in `order`: an aggregation, so hot keys combine map-side."""
+    """One row per key, the one greatest in `order`: an aggregation, so hot keys combine map-side.
+
+    Where the order and all other columns are of fixed width, each column is picked by itself in a hash table, and raw
+    rows are not sorted before they combine; the picks see the same rows in the same order, so they agree on the row.
+    """
     rest = [c for c in df.columns if c not in keys]
+    if all(isinstance(f.dataType, _FIXED) for f in df.select(*rest, order.alias("_order")).schema):
+        return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*keys, *rest)
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 

@@ -41,15 +41,19 @@ def strict_signals(bars: DataFrame, sma_days: int = 200, vol_days: int = 60, per
     }).withColumn("active", F.coalesce(F.col("_full") & (F.col("close") > F.col("sma")) & (F.col("vol") > 0), F.lit(False))).drop("_full")
 
 
-def rolling_covariance(returns: DataFrame, pairs: DataFrame, window: int, per_year: float = CRYPTO_DAYS) -> DataFrame:
-    """Yearly covariance of chosen symbol pairs over a trailing window of common days.
+def rolling_covariance(returns: DataFrame, pairs: DataFrame | None, window: int, per_year: float = CRYPTO_DAYS) -> DataFrame:
+    """Yearly covariance of symbol pairs over a trailing window of common days.
 
-    `pairs` names the pairs wanted (symbol_a, symbol_b); returns need (symbol, date, log_ret).
+    `pairs` names the pairs wanted (symbol_a, symbol_b); without it, symbols meet on the days they share, so no list of
+    pairs is made and pairs that never trade together cost nothing. Returns need (symbol, date, log_ret).
     """
     known = returns.filter("log_ret IS NOT NULL").select("symbol", "date", "log_ret")
     a = known.select(F.col("symbol").alias("symbol_a"), "date", F.col("log_ret").alias("ret_a"))
     b = known.select(F.col("symbol").alias("symbol_b"), "date", F.col("log_ret").alias("ret_b"))
-    both = pairs.join(a, "symbol_a").join(b, ["symbol_b", "date"])
+    if pairs is None:
+        both = a.join(b, "date").filter("symbol_a < symbol_b")
+    else:
+        both = pairs.join(a, "symbol_a").join(b, ["symbol_b", "date"])
     w = over(["symbol_a", "symbol_b"], "date").rowsBetween(-(window - 1), 0)
     value = F.when(F.count(F.lit(1)).over(w) == window, F.covar_samp("ret_a", "ret_b").over(w) * per_year)
     return both.withColumn("cov", value).select("symbol_a", "symbol_b", "date", "cov")

@@ -515,11 +515,7 @@ SELECT symbol_a, symbol_b, date, CASE WHEN count(*) OVER w = {VOL} THEN round(co
 WINDOW w AS (PARTITION BY symbol_a, symbol_b ORDER BY date ROWS {VOL - 1} PRECEDING)""")
 def jn10(spark, sf):
     """Rolling covariance of every pair of symbols."""
-    signals = trend_signals(spark, sf)
-    names = signals.select("symbol").distinct()
-    other = names.withColumnRenamed("symbol", "symbol_b")
-    pairs = names.withColumnRenamed("symbol", "symbol_a").join(other, F.col("symbol_a") < F.col("symbol_b"))
-    return round_to(WT.rolling_covariance(signals, pairs, VOL), 8, "cov")
+    return round_to(WT.rolling_covariance(trend_signals(spark, sf), None, VOL), 8, "cov")
 
 
 cte("sundays", """
