@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,14 @@ from .scratch import Scratch
 RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 )
-#: Share of a host's score that goes on along its edges, and the number of steps.
-DAMPING, STEPS = 0.85, 20
+#: Share of a host's score that goes on along its edges, and the share of all score that may be left unmoved.
+DAMPING, UNMOVED = 0.85, 1e-3
+#: After so many steps at most ``UNMOVED`` of the score has not come to rest, whatever the graph: each step moves on
+#: ``DAMPING`` of what the one before moved.
+STEPS = math.ceil(math.log(UNMOVED) / math.log(DAMPING))
 #: A host is blocked if its distrust exceeds its trust by more than this share of it. Scores shrink as the graph
 #: grows, so the limit has no unit of mass; sums that are equal but for rounding count as equal.
 SHARE = 1e-6
-#: The margin of the SQL twin; it agrees as long as no undecided host has scores that small.
-MARGIN = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Hosts of absolute links; a link without a host stays on its own.
@@ -63,8 +66,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     """``host, trust, distrust``: personalised PageRank from ``seeds(host, kind, mass)``.
 
     Trust follows links forwards, distrust backwards; both run in one table, as ``kind``. A step is one join and
-    one aggregation with map-side sums; its result is written and read again, which cuts lineage. Hosts that no
-    score reaches have no row.
+    one aggregation with map-side sums; its result is written and read again, which cuts lineage. The score that has
+    not come to rest after the last step is at most ``damping ** steps`` of the whole. Hosts that no score reaches
+    have no row.
     """
     forward = edges.select(F.lit("allow").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "w")
     backward = edges.select(F.lit("block").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "w")
@@ -90,7 +94,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``page_id, host, path, rule, verdict, trust, distrust`` for every page.
 
     A rule decides where one fits. Elsewhere the host's scores do: seeds are the hosts of ruled pages, weighted
-    by their number of pages; a host is blocked if its distrust exceeds its trust, however small both are (the
+    by their number of pages; scores travel ``STEPS`` links far; a host is blocked if its distrust exceeds its trust, however small both are (the
     output rounds them to nine digits, so both may show as 0). A host that no score reaches, an empty host and a
     null url are allowed. A null html has no link. Rows that repeat an id are judged one by
     one, and count as pages of their host each; an empty table has no rows. Other columns are not read.
@@ -138,7 +142,7 @@ moves AS MATERIALIZED (SELECT kind, host, dest, w / sum(w) OVER (PARTITION BY ki
 start AS MATERIALIZED (SELECT kind, host, count(*) / sum(count(*)) OVER (PARTITION BY kind) AS score FROM ruled WHERE kind IS NOT NULL GROUP BY kind, host){steps},
 scores AS (SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust
     FROM score{STEPS} GROUP BY host)
-SELECT page_id, r.host, path, rule, coalesce(kind, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT page_id, r.host, path, rule, coalesce(kind, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * (1 + {SHARE}::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict,
     round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
 FROM ruled r LEFT JOIN scores s ON r.host = s.host"""
 

@@ -301,10 +301,25 @@ def test_urls_large_graph(spark):
     rows += [(-40 - i, f"http://f{i}.org/", "<a href='//n0.org/'>") for i in range(20)] + [(-90, "http://alone.org/", "")]
     pages = seeds.union(spark.createDataFrame(rows, seeds.schema))
     got = {r["host"]: r for r in url_filters.judge_urls(pages).where("page_id < 0").collect()}
-    assert 0 < url_filters.MARGIN and got["f3.org"]["distrust"] == got["f3.org"]["trust"] == 0  # below nine digits, still reached
+    assert got["f3.org"]["distrust"] == got["f3.org"]["trust"] == 0  # below nine digits, still reached
     assert {h for h, r in got.items() if r["verdict"] == "allow"} == {"alone.org"}
 
 
+def test_urls_far_from_seeds(spark):
+    """Distrust reaches a host 40 links away, and scores on a ring miss the limit by no more than the stated share."""
+    rows = [(0, "http://a0.net/fr/", ""), *((i, f"http://a{i}.org/", f"<a href='//a{i - 1}.{'org' if i > 1 else 'net'}/'>") for i in range(1, 41))]
+    pages = spark.createDataFrame([*rows, (99, "http://alone.org/", "")], "page_id long, url string, html string")
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(pages).collect()}
+    assert all(verdicts[i] == "block" for i in range(41)) and verdicts[99] == "allow"
+    assert url_filters.DAMPING**url_filters.STEPS <= url_filters.UNMOVED
+    ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 7}", 1) for i in range(7)], "src string, dst string, w long")
+    seeds = spark.createDataFrame([("allow", "r0", 3), ("block", "r3", 1)], "kind string, host string, mass long")
+    got = {r["host"]: r for r in url_filters.propagate(ring, seeds, url_filters.Scratch(spark, "ring")).collect()}
+    exact = {i: (1 - 0.85) * 0.85**i / (1 - 0.85**7) for i in range(7)}
+    for i in range(7):
+        assert abs(got[f"r{i}"]["trust"] - exact[i]) < url_filters.UNMOVED and abs(got[f"r{(3 - i) % 7}"]["distrust"] - exact[i]) < url_filters.UNMOVED
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T  t</title><p>x &amp;lt; y<script>q</script><a href='/l'>l</a>", 5), (2, None, None, 6)],
                                   "page_id long, url string, html string, block int")
