@@ -189,11 +189,11 @@ def venue_delta(
 ) -> DataFrame:
     """Rates of two venues matched on the interval grid, and left minus right.
 
-    Strict mode raises if snapping merges events; otherwise the earliest event of a grid point stays.
+    Strict mode raises if snapping merges events; otherwise the earliest event of a grid point that has a rate stays.
     """
     def leg(df: DataFrame, name: str) -> DataFrame:
         grouped = df.groupBy(*keys, snap(F.col("ts"), interval_hours).alias("grid_us"))
-        out = grouped.agg(F.min_by("rate", "ts").alias(name), F.count(F.lit(1)).alias("_n"))
+        out = grouped.agg(F.min_by("rate", F.when(F.col("rate").isNotNull(), F.col("ts"))).alias(name), F.count(F.lit(1)).alias("_n"))
         if strict:
             bad = F.raise_error(F.lit("events are not on a clean interval grid")).cast("double")
             out = out.withColumn(name, F.when(F.col("_n") == 1, F.col(name)).otherwise(bad))

@@ -77,16 +77,16 @@ def jn02(spark, sf):
     return round_to(out, 10, "annualized", "annualized_next")
 
 
-_LEG = """(SELECT key, epoch_us(ts + INTERVAL 30 MINUTE) // 3600000000 * 3600000000 AS grid_us, min(close) AS r FROM quotes WHERE kind = '{}' GROUP BY 1, 2 HAVING count(*) = 1)"""
+_LEG = """(SELECT key, epoch_us(ts + INTERVAL 30 MINUTE) // 3600000000 * 3600000000 AS grid_us, arg_min(close, ts) AS r FROM quotes WHERE kind = '{}' GROUP BY 1, 2)"""
 
 
 @query("jn03_venue_delta", f"""
 SELECT key, grid_us, round(a.r, 6) AS rate_left, round(b.r, 6) AS rate_right, round(a.r - b.r, 6) AS rate_delta
 FROM {_LEG.format('view')} a JOIN {_LEG.format('click')} b USING (key, grid_us)""")
 def jn03(spark, sf):
-    """The strict match, over the events that share no grid point; `jn03_snap_collisions` has the others."""
-    a, b = (A.clean_events(quotes(spark, sf, k).withColumnRenamed("close", "rate"), ["key"], 1) for k in ("view", "click"))
-    return round_to(A.venue_delta(a, b, ["key"], 1), 6, "rate_left", "rate_right", "rate_delta")
+    """All grid points of both venues; of several events on one the earliest counts, and `jn03_snap_collisions` lists them."""
+    a, b = (quotes(spark, sf, k).withColumnRenamed("close", "rate") for k in ("view", "click"))
+    return round_to(A.venue_delta(a, b, ["key"], 1, strict=False), 6, "rate_left", "rate_right", "rate_delta")
 
 
 @query("jn03_snap_collisions", """
