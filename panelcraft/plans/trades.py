@@ -102,13 +102,11 @@ def top04(spark, sf):
 
 
 @query("top04_random_entries", """
-SELECT symbol, horizon, entry_idx FROM (SELECT *, row_number() OVER (PARTITION BY symbol, horizon ORDER BY u, entry_idx) AS rn, count(*) OVER (PARTITION BY symbol, horizon) AS n FROM (
-  SELECT symbol, horizon, entry_idx, cast(concat('0x', substr(md5(concat('11|', symbol, '|', horizon, '|', entry_idx)), 1, 8)) AS BIGINT) AS u FROM carry_gross)) WHERE rn <= 25 AND n >= 25""")
+SELECT symbol, horizon, entry_idx FROM (SELECT *, row_number() OVER (PARTITION BY symbol, horizon ORDER BY u, entry_idx) AS rn FROM (
+  SELECT symbol, horizon, entry_idx, cast(concat('0x', substr(md5(concat('11|', symbol, '|', horizon, '|', entry_idx)), 1, 8)) AS BIGINT) AS u FROM carry_gross)) WHERE rn <= 25""")
 def top04_random(spark, sf):
-    """The strict schedule, for the keys that have enough entries; `top04_short_schedules` has the others."""
-    rows = stage(C.trades(obs(spark, sf), HORIZONS), "trades")
-    enough = rows.join(C.short_schedules(rows, 25).select("symbol", "horizon"), ["symbol", "horizon"], "left_anti")
-    return C.random_entries(enough, 25, 11).select("symbol", "horizon", "entry_idx")
+    """Long horizons of short series have fewer than 25 entries; then all are taken, and `top04_short_schedules` lists them."""
+    return C.random_entries(C.trades(obs(spark, sf), HORIZONS), 25, 11, strict=False).select("symbol", "horizon", "entry_idx")
 
 
 @query("top04_short_schedules", "SELECT symbol, horizon, count(*) AS n_entries, 25 - count(*) AS n_missing FROM carry_gross GROUP BY 1, 2 HAVING count(*) < 25")

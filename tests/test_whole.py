@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from oracle import compare_rows, database
+from oracle import DATA, compare, compare_rows, database
 from pyspark.sql import functions as F
 
 from panelcraft.operators import asof as A
@@ -38,3 +38,13 @@ def test_strict_match_takes_clean_events(spark):
         A.venue_delta(rates, rates, ["key"], 1).collect()
     clean = A.clean_events(rates, ["key"], 1)
     assert [r["rate_left"] for r in A.venue_delta(clean, clean, ["key"], 1).collect()] == [3.0]
+
+
+def test_random_entries_of_short_keys(spark):
+    """A key with fewer than 25 entries gives all of them."""
+    sf = f"{DATA}/sf0.001"
+    short = {(r["symbol"], r["horizon"]): r["n_entries"] for r in catalog.QUERIES["top04_short_schedules"](spark, sf).collect()}
+    given = catalog.QUERIES["top04_random_entries"](spark, sf).groupBy("symbol", "horizon").count().collect()
+    counts = {(r["symbol"], r["horizon"]): r["count"] for r in given}
+    assert short and all(counts[k] == n for k, n in short.items()) and all(n == 25 for k, n in counts.items() if k not in short)
+    assert compare(spark, database(sf), "top04_random_entries", sf).startswith("ok")
