@@ -1,4 +1,4 @@
-"""BPE encoding by backtracking over longest token matches, and decoding from an offset table.
+"""BPE encoding by backtracking over longest token matches, and decoding from a table of pieces.
 
 A word is a sequence of symbols: one per byte, the last one marked as word end. An Aho-Corasick automaton over
 the vocabulary gives, for every end position, the tokens that end there, longest first. Two neighbouring tokens are compatible if merging their joined symbols gives back
@@ -14,7 +14,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import ahocorasick
@@ -53,6 +53,7 @@ class BpeVocabulary:
             raise ValueError("not a tokenizer of the word-end kind")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(split.replace(r"\s", UNICODE_SPACE_IN_SET))
+        self.letters_stay_whole = split.startswith(LETTERS_FIRST)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         bytes_of = byte_symbols()
@@ -75,17 +76,15 @@ class BpeVocabulary:
             self.rank[vocab[left], vocab[right]] = rank
             self.parts.setdefault(whole, (vocab[left], vocab[right]))
         self.single = {i for i, s in self.symbols.items() if len(s) == 1}
-        # decoding: all pieces in one buffer, and where each begins
         top = max(pieces) + 1
-        self.offsets = np.zeros(top + 1, np.int64)
-        for i, piece in pieces.items():
-            self.offsets[i + 1] = len(piece)
-        np.cumsum(self.offsets, out=self.offsets)
-        self.buffer = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(top)), np.uint8)
+        self.pieces = [pieces.get(i, b"") for i in range(top)]
+        self.decimals = [str(i) for i in range(top)]
 
 
 #: The white space class of the tokenizer's own regex engine.
 UNICODE_SPACE_IN_SET = r"\t\n\v\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: A pattern that begins so takes a run of letters as one pre-token.
+LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|"
 _ASCII_SPACE, _CONTROL = re.compile(r"[\t\n\v\f\r ]+"), re.compile(r"[\x1c-\x1f]")
 
 
@@ -107,7 +106,7 @@ class BacktrackingEncoder:
             if self._reachable(i):
                 self.automaton.add_word(symbols, (i, len(symbols)))
         self.automaton.make_automaton()
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def _seam_holds(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge of a rank below ``limit`` crosses the seam between tokens a and b.
@@ -179,13 +178,13 @@ class BacktrackingEncoder:
             at -= size[at]
         return out[::-1]
 
-    def __call__(self, word: str) -> tuple[bytes, str]:
-        """Ids of a pre-token, packed as uint32 and as decimal text."""
-        raw = word.encode("utf-8").decode("latin-1")
+    def __call__(self, word: str) -> bytes:
+        """Ids of a pre-token, packed as uint32."""
+        raw = word if word.isascii() else word.encode("utf-8").decode("latin-1")
         ids = self.word(raw[:-1] + chr(ord(raw[-1]) + 256))
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
-        found = self.cache[word] = (array("I", ids).tobytes(), " ".join(map(str, ids)))
+        found = self.cache[word] = array("I", ids).tobytes()
         return found
 
 
@@ -198,14 +197,15 @@ class BpeTokenizer(dict):
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens. White space is never part of one, so runs of it need no replacing."""
-        return self.v.pattern.findall(lower_each(unicodedata.normalize("NFC", text)))
+        low = text.lower() if text.isascii() else lower_each(unicodedata.normalize("NFC", text))
+        return [low] if self.v.letters_stay_whole and low.isalpha() else self.v.pattern.findall(low)
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
+    def __missing__(self, chunk: str) -> bytes:
         cache, encoder = self.encoder.cache, self.encoder
         parts = [cache.get(w) or encoder(w) for w in self.words(chunk)]
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = self[chunk] = (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+        found = self[chunk] = parts[0] if len(parts) == 1 else b"".join(parts)
         return found
 
     def _chunks(self, text: str) -> list[str]:
@@ -215,31 +215,31 @@ class BpeTokenizer(dict):
         """
         return _ASCII_SPACE.split(text) if _CONTROL.search(text) else text.split()
 
-    def _parts(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def _parts(self, text: str) -> Iterator[bytes]:
         at = 0
-        for m in self.v.special_pattern.finditer(text) if self.v.special_pattern else ():
+        for m in self.v.special_pattern.finditer(text):
             yield from map(self.__getitem__, self._chunks(text[at : m.start()]))
-            i = self.v.special[m.group()]
-            yield array("I", [i]).tobytes(), str(i)
+            yield array("I", [self.v.special[m.group()]]).tobytes()
             at = m.end()
         yield from map(self.__getitem__, self._chunks(text[at:]))
 
+    def ids(self, text: str | None) -> list[int]:
+        """Token ids of a whole text. Null counts as empty."""
+        text = text or ""
+        parts = self._parts(text) if any(s in text for s in self.v.special) else map(self.__getitem__, self._chunks(text))
+        return array("I", b"".join(parts)).tolist()
+
+    def decimal(self, ids: list[int]) -> str:
+        return " ".join(map(self.v.decimals.__getitem__, ids))
+
     def encode(self, text: str | None) -> tuple[np.ndarray, str]:
-        """Ids, and the same as decimal text joined by spaces. Null counts as empty."""
-        parts = list(self._parts(text or ""))
-        return np.frombuffer(b"".join([p[0] for p in parts]), np.uint32), " ".join([p[1] for p in parts if p[1]])
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The pieces of the ids, one space between them, gathered from the offset table."""
-        if not len(ids):
-            return b""
-        ids = ids.astype(np.int64)
-        length = self.v.offsets[ids + 1] - self.v.offsets[ids] + 1
-        start = np.concatenate([[0], np.cumsum(length)])
-        at = np.arange(start[-1]) - np.repeat(start[:-1] - self.v.offsets[ids], length)
-        out = self.v.buffer[np.minimum(at, len(self.v.buffer) - 1)]
-        out[start[1:] - 1] = 32
-        return out[:-1].tobytes()
+        """Ids, and the same as decimal text joined by spaces."""
+        ids = self.ids(text)
+        return np.array(ids, np.uint32), self.decimal(ids)
+
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """The pieces of the ids, one space between them."""
+        return b" ".join(map(self.v.pieces.__getitem__, ids))
 
 
 _LOADED: dict[str, BpeTokenizer] = {}
@@ -257,11 +257,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in small(batches):
         ids, decoded = [], []
         for text in batch.column(1).to_pylist():
-            found, _ = own.encode(text)
-            ids.append(found)
+            found = own.ids(text)
+            ids.append(np.array(found, np.int32))
             decoded.append(own.decode(found).decode("utf-8", "replace"))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32)))
+        column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
         yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
 
@@ -280,9 +280,9 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in small(batches):
         n, a, b = [], [], []
         for text in batch.column(1).to_pylist():
-            ids, decimal = own.encode(text)
+            ids = own.ids(text)
             n.append(len(ids))
-            a.append(hashlib.sha256(decimal.encode("ascii")).hexdigest())
+            a.append(hashlib.sha256(own.decimal(ids).encode("ascii")).hexdigest())
             b.append(hashlib.sha256(own.decode(ids)).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
